@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, exact_dedup, mixing, secret_scan
-from cellweft.runtime import table
+from cellweft.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, token_rollup
+from cellweft.llm.common import word_count
+from cellweft.runtime import materialize, shared_path, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -18,6 +19,37 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).rows()
 
 
+#: The second tokenizer version of the rollup query: runs of ASCII letters, runs of digits, and single other characters.
+FINE = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+
+
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents, two of which are sent twice.
+
+    All documents are counted by two tokenizer versions; then those of fewer than 20 words are deleted, and those with more
+    than two fine tokens a word have their word counts revised to the mean of both, rounded down.
+    """
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select("doc_id", "source", "lang", word_count(F.col("text")).alias("w"), F.coalesce(F.regexp_count("text", F.lit(FINE)), F.lit(0)).cast("long").alias("f"))
+    counts = materialize(counts, "token-counts")
+    rollup = token_rollup.TokenRollup(spark, shared_path(spark, "token-rollup"))
+    change = lambda df, op, tokenizer, n: df.select(F.lit(op).alias("op"), "doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), n.alias("n_tokens"), F.lit(0).cast("long").alias("seq"))
+    short, dense = counts.where("w < 20"), counts.where("w >= 20 and f > 2 * w")
+    batches = {
+        "words": change(counts, "insert", "words", F.col("w")),
+        "fine": change(counts, "insert", "fine", F.col("f")),
+        "short": change(short, "delete", "words", F.col("w")).union(change(short, "delete", "fine", F.col("f"))),
+        "dense": change(dense, "revise", "words", F.expr("(w + f) div 2")),
+    }
+    for name in ("words", "fine", "short", "fine", "dense", "dense"):
+        rollup.apply(name, batches[name])
+    return rollup.totals()
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=False)
 
@@ -31,11 +63,22 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op6_bpe, op7_exact_dedup, op8_secret_scan)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op5_quality_rules, op6_bpe, op7_exact_dedup, op8_secret_scan, op10_quality_classifier)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_token_rollup": r"""
+        WITH c AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+                          len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS f FROM documents),
+        k AS (SELECT * FROM c WHERE w >= 20),
+        r AS (SELECT source, lang, 'words' AS tokenizer, CASE WHEN f > 2 * w THEN (w + f) // 2 ELSE w END AS n FROM k
+              UNION ALL SELECT source, lang, 'fine', f FROM k)
+        SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM r GROUP BY ALL""",
     "op7_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
