@@ -9,7 +9,7 @@ from cellweft.llm.common import pick
 from cellweft.runtime import materialize
 
 #: Each share that gets a threshold, and the least distance above the upper quartile at which it may stand.
-SHARES = {"symbol_share": 0.05, "dup_line_share": 0.25, "repeat_share": 0.15, "upper_share": 0.15, "mark_share": 0.05}
+SHARES = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.35, "upper_share": 0.15, "mark_share": 0.05}
 #: Accuracy of the sketches: at this k groups of up to some thousand rows are held exactly.
 SKETCH_K = 2048
 #: Thresholds are rounded up to this grid, so that the sketches' random error seldom shows in a rerun.
