@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, token_rollup
+from cellweft.llm import bpe, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, token_rollup, toxicity
 from cellweft.llm.common import word_count
 from cellweft.runtime import materialize, shared_path, table
 
@@ -19,6 +19,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).rows()
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score_toxicity(docs, machine).select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 #: The second tokenizer version of the rollup query: runs of ASCII letters, runs of digits, and single other characters.
 FINE = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
 
@@ -71,7 +77,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_token_rollup, op5_quality_rules, op6_bpe, op7_exact_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_token_rollup, op5_quality_rules, op6_bpe, op7_exact_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_classifier)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
