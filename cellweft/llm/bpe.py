@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import struct
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -14,99 +15,85 @@ from pyspark.sql import functions as F
 
 from cellweft.llm.common import pick
 
-#: Pre-tokens up to CACHED bytes are kept, at most CACHE of them in a worker; when full the cache starts anew.
+#: Pre-tokens up to CACHED bytes are kept, twice CACHE of them in a worker at most.
 CACHED, CACHE = 48, 400_000
-
-
-class RankQueue:
-    """A queue of (rank, position) that pops the least rank, and of that the leftmost position.
-
-    There is a bucket of positions for each rank. Three levels of 64-bit words say which buckets have any: a bit of
-    a lower word, a bit of a middle word for each lower word, and one top integer for the middle words. The next
-    rank is found by find-first-set on each level, in a time that does not depend on the queue's length.
-    """
-
-    def __init__(self, ranks: int) -> None:
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        i = (self.top & -self.top).bit_length() - 1
-        word = self.mid[i]
-        i = i << 6 | (word & -word).bit_length() - 1
-        word = self.low[i]
-        rank = i << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[i] &= ~(1 << (rank & 63))
-            if not self.low[i]:
-                self.mid[i >> 6] &= ~(1 << (i & 63))
-                if not self.mid[i >> 6]:
-                    self.top &= ~(1 << (i >> 6))
-        return rank, position
+#: Bits of a word of the rank queue, as a power of two.
+WORD = 8
 
 
 class Bpe:
     """An encoder and decoder for the ranks of a byte-level vocabulary.
 
     ``ranks`` maps byte strings to ids, which are also merge ranks; every single byte must be among them.
+
+    The rank queue holds pairs of neighbouring parts, by rank, and gives the least rank, and of that the leftmost position. There is a bucket of
+    positions for each rank that has any. A bit for each rank says whether it has, in words of 2**WORD bits; a bit for each
+    word, in ``top``, says whether the word has any bit. Find-first-set on both levels gives the next rank, in a time that does not depend on the queue's length.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: b for b, i in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.words = [0] * ((max(ranks.values()) >> WORD) + 1)
+        self.bits = [1 << k for k in range(max(len(self.words), 1 << WORD))]
         self.cache: dict[str, bytes] = _Cache(self)
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token, merged on a linked list of parts; an entry is stale if its part has changed since."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        get = self.ranks.get
+        if (whole := get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, words, bits, mask, top = len(piece), self.words, self.bits, (1 << WORD) - 1, 0
         end, before = list(range(1, n + 1)), list(range(-1, n))  # by a part's start: its end, and the start before
-        pending = [-1] * n  # by a part's start: the rank of its pair with the next part
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                pending[i] = rank
-                queue.push(rank, i)
-        while (item := queue.pop()) is not None:
-            rank, i = item
+        buckets: dict[int, list[int]] = {}
+        pending = [get(piece[i : i + 2]) for i in range(n)]  # by a part's start: the rank of its pair with the next part
+        pending[-1] = None
+        for i, rank in enumerate(pending):
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> WORD] |= bits[rank & mask]
+                    top |= bits[rank >> WORD]
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            rank = at << WORD | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[at] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if pending[i] != rank:
                 continue
             gone = end[i]
             stop = end[i] = end[gone]
-            pending[gone] = -1
+            pending[gone] = None
+            fresh = [i]
             if stop < n:
                 before[stop] = i
-                pending[i] = -1 if (rank := ranks.get(piece[i : end[stop]])) is None else rank
-                if pending[i] >= 0:
-                    queue.push(pending[i], i)
+                pending[i] = get(piece[i : end[stop]])
             else:
-                pending[i] = -1
+                pending[i] = None
             if (j := before[i]) >= 0:
-                pending[j] = -1 if (rank := ranks.get(piece[j:stop])) is None else rank
-                if pending[j] >= 0:
-                    queue.push(pending[j], j)
+                pending[j] = get(piece[j:stop])
+                fresh.append(j)
+            for j in fresh:
+                if (rank := pending[j]) is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], j)
+                    else:
+                        buckets[rank] = [j]
+                        words[rank >> WORD] |= bits[rank & mask]
+                        top |= bits[rank >> WORD]
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(self.ranks[piece[i : end[i]]])
             i = end[i]
         return out
 
@@ -122,19 +109,24 @@ class Bpe:
 
 
 class _Cache(dict):
-    """From pre-tokens to the bytes of their ids."""
+    """From pre-tokens to the bytes of their ids, in two generations: what is used again outlives a full cache."""
 
     def __init__(self, bpe: Bpe) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, token: str) -> bytes:
-        raw = token.encode()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.bpe.piece(raw))
-        if len(raw) <= CACHED:
-            if len(self) >= CACHE:
-                self.clear()
-            self[token] = ids
+        ids = self.older.get(token)
+        if ids is None:
+            raw = token.encode()
+            found = self.bpe.piece(raw)
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(raw) > CACHED:
+                return ids
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[token] = ids
         return ids
 
 
