@@ -28,6 +28,8 @@ BUCKETS, MINS = 16, 4
 HOT = 256
 #: Buckets of 4 KiB of the bitmap that says whose sets are wanted.
 WANTED = 1024
+#: The same of the bitmap of prefix elements that lie in two components or more.
+OPEN = 4096
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -125,32 +127,61 @@ def signatures(rows: DataFrame, width: int, percent: int, frequent: tuple[np.nda
     return rows.mapInArrow(sign, "id long, n long, digest binary, prefix array<long>, counts array<int>, mins array<long>")
 
 
-def _at(ident: Column) -> Column:
-    return F.pmod(F.xxhash64(ident), F.lit(WANTED * BUCKET_BITS)) + 1
+def _bitmap(keys: DataFrame, buckets: int) -> bytes:
+    """A bitmap of the hashes of ``keys`` (k), of ``buckets`` * 4 KiB however many keys there are."""
+    bit = F.pmod(F.xxhash64("k"), F.lit(buckets * BUCKET_BITS)) + 1
+    marks = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bitmap = bytearray(buckets * BUCKET_BITS // 8)
+    for r in marks:
+        start = (r["b"] - 1) * BUCKET_BITS // 8
+        bitmap[start : start + len(r["bits"])] = r["bits"]
+    return bytes(bitmap)
+
+
+def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = np.mod(hashes, len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, elements) of the texts whose ids are in ``ids``, elements being sorted hashes as bytes.
 
-    The ids are marked in a bitmap of fixed size, by which the scan leaves out nearly all other texts; the join that follows is exact.
+    The ids are marked in a bitmap of fixed size, which is broadcast and lets the scan leave out nearly all other texts before they reach Python.
+    A text that is marked by chance costs its set, no more.
     """
-    bit = _at(F.col("id"))
-    marks = ids.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # WANTED * 4 KiB at most
-    bitmap = bytearray(WANTED * BUCKET_BITS // 8)
-    for r in marks:
-        start = (r["k"] - 1) * BUCKET_BITS // 8
-        bitmap[start : start + len(r["bits"])] = r["bits"]
-    shared = rows.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    bit = F.pmod(F.xxhash64("id"), F.lit(WANTED * BUCKET_BITS)) + 1
+    marks = ids.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    found = rows.where("id is not null").withColumns({"k": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(marks), "k")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = found.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select("id", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["id", "elements"])
+
+    return found.mapInArrow(make, "id long, elements binary")
+
+
+def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
+    """An entry for each prefix element that may be in ``keys`` (k): id, comp, n, pos, key, and what the filters need."""
+    shared = placed.sparkSession.sparkContext.broadcast(_bitmap(keys, OPEN))
+    names = ["id", "comp", "n", "pos", "key", "before", "counts"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False) - 1
-            keep = np.nonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
-            ids, text = batch.column(0), batch.column(1)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array([shingles(text[int(i)].as_py(), width).tobytes() for i in keep], pa.binary())], ["id", "elements"])
+            prefix = batch.column("prefix")
+            flat = prefix.flatten().to_numpy()
+            ends = prefix.offsets.to_numpy() - prefix.offsets[0].as_py()
+            hashes = batch.column("hashes").flatten().to_numpy()
+            at = np.nonzero(_hit(bits, hashes))[0]
+            owner = np.searchsorted(ends, at, side="right") - 1
+            take = pa.array(owner)
+            before = pa.array([flat[ends[o] : k] for o, k in zip(owner, at)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(flat[at]), before, batch.column("counts").take(take)], names)
 
-    return rows.where("id is not null").select("id", "text", bit.alias("at")).mapInArrow(make, "id long, elements binary")
+    rows = placed.select("id", "comp", "n", "prefix", F.transform("prefix", lambda k: F.xxhash64(k)).alias("hashes"), "counts")
+    return rows.mapInArrow(choose, "id long, comp long, n long, pos int, key long, before array<long>, counts array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,46 +278,47 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     wide = materialize(signatures(rows, width, percent, frequent_shingles(rows, width, frequent)), "jaccard-signatures")
     narrow = materialize(wide.select("id", "n", "digest"), "jaccard-sizes")
     classes = materialize(narrow.where("n > 0").groupBy("digest").agg(F.min("id").alias("class")), "jaccard-classes")
-    reps = materialize(wide.join(classes.select(F.col("class").alias("id")), "id", "left_semi").drop("digest"), "jaccard-classes")
-    discard(wide)
+    reps = classes.where("class is not null").select(F.col("class").alias("id"))
 
     # Star round.
-    keys = reps.select("id", "n", F.explode("mins").alias("key"))
+    keys = wide.select("id", "n", "mins").join(reps, "id", "left_semi").select("id", "n", F.explode("mins").alias("key"))
     pivots = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("m"))
     pairs = keys.join(pivots, "key").where((F.col("id") != F.col("a")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select("a", F.col("id").alias("b")).distinct()
     pairs = materialize(pairs, "jaccard-stars")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = materialize(verified(pairs, sets_of(rows, ends(pairs), width).dropDuplicates(["id"]), percent), "jaccard-links")
-    labels = materialize(connected_components(links), "jaccard-labels")
+    sets = materialize(sets_of(rows, ends(pairs), width).dropDuplicates(["id"]), "jaccard-sets")
+    stars = materialize(verified(pairs, sets, percent), "jaccard-links")
+    discard(sets)
+    labels = connected_components(stars)
 
     # Prefix round.
-    placed = reps.join(labels, "id", "left").select("id", "n", F.coalesce("component", "id").alias("comp"), "prefix", "counts")
-    placed = materialize(placed, "jaccard-placed")
-    discard(reps)
-    spread = placed.select("id", "comp", F.explode("prefix").alias("key"))
+    placed = reps.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    placed = materialize(wide.drop("digest", "mins").join(placed, "id"), "jaccard-placed")
+    discard(wide)
+    spread = placed.select("comp", F.explode("prefix").alias("key"))
     open_ = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least != most").select("key", "size")
-    entries = materialize(placed.select("id", "comp", "n", F.posexplode("prefix").alias("pos", "key")).join(open_, "key"), "jaccard-entries")
-    heads = placed.select("id", "counts")
-    cool = entries.where(F.col("size") <= hot)
-    cool = materialize(cool.join(heads, "id"), "jaccard-cool")
-    x, y = cool.alias("x"), cool.alias("y")
+    open_ = materialize(open_, "jaccard-open")
+    entries = materialize(open_entries(placed, open_.select(F.col("key").alias("k"))).join(open_, "key"), "jaccard-entries")
+    discard(placed)
+    x, y = (entries.where(F.col("size") <= hot).drop("before").alias(side) for side in "xy")
     a, b = F.col("x.n"), F.col("y.n")
     need = _least_overlap(a, b, percent)
     positional = 1 + F.least(a - F.col("x.pos") - 1, b - F.col("y.pos") - 1) >= need
     distance = F.expr("aggregate(zip_with(x.counts, y.counts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)")
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & (distance <= a + b - 2 * need)
     pairs = materialize(x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "jaccard-pairs")
-    group = entries.where(F.col("size") > hot).join(placed.select("id", "prefix"), "id")
-    group = group.withColumns({"blocks": F.ceil(2 * F.col("size") / hot).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
-    group = materialize(group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("prefix", "pos", "size"), "jaccard-hot")
+    group = entries.where(F.col("size") > hot).withColumn("blocks", F.ceil(2 * F.col("size") / hot).cast("int"))
+    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("counts", "pos", "size")
     wanted = ends(pairs).union(group.select("id").distinct())
     sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")
     more = verified(pairs, sets, percent)
     blocks = group.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     in_blocks = blocks.select("key", "lo", "hi", "id", "comp", "block", "before", "elements").groupBy("key", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
-    links = materialize(links.union(more).union(in_blocks), "jaccard-links")
-    labels = materialize(connected_components(links), "jaccard-labels")
+    links = materialize(stars.union(more).union(in_blocks), "jaccard-links")
+    discard(entries)
+    discard(sets)
+    labels = connected_components(links)
 
     of_class = materialize(classes.join(labels, classes["class"] == labels["id"], "left").select("digest", "class", F.coalesce("component", "class").alias("component")), "jaccard-result")
     key = F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.coalesce("id", F.lit(0)).cast("string")), "utf-8"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import bpe, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, token_rollup, toxicity
+from cellweft.llm import bpe, bwt_dedup, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, token_rollup, toxicity
 from cellweft.llm.common import word_count
 from cellweft.runtime import materialize, shared_path, table
 
@@ -52,6 +52,10 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), kept_bytes=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_token_rollup, op5_quality_rules, op6_bpe, op7_exact_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_token_rollup, op4_bwt_dedup, op5_quality_rules, op6_bpe, op7_exact_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_classifier)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
