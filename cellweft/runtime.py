@@ -6,8 +6,11 @@ checkpointed frame it survives the loss of any executor, and a later reader prun
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,13 +49,21 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
-    path = shared_path(spark, tag)
+    path, schema = shared_path(spark, tag), df.schema
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    reclaim(spark)
+    out = spark.read.schema(schema).parquet(path)
     out._cellweft_path = path
     return out
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referenced, which it does as the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     path = getattr(df, "_cellweft_path", None)
@@ -62,6 +73,17 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    That serves local sessions and clusters with the package in the same place on every machine; others get it by ``--py-files``.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
