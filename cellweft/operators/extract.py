@@ -17,7 +17,6 @@ _NAMES = ["r1", "c1", "r2", "c2", "abs_r1", "abs_c1", "abs_r2", "abs_c2", "edge_
 _KINDS = [pa.int32()] * 4 + [pa.bool_()] * 4 + [pa.string()]
 
 
-@F.arrow_udf(f"struct<refs:array<{_REF}>,error:string>")
 def _parsed(formulas: pa.Array) -> pa.Array:
     flat, ends, errors = [], [0], []
     for f in formulas.to_pylist():
@@ -61,7 +60,7 @@ def extract(texts: DataFrame) -> Extracted:
     """
     rows = normalized(texts).where("text is not null")
     rows = rows.withColumn("formula", F.when(F.col("text").startswith("="), F.substring("text", 2, 2_147_483_647)))
-    rows = rows.withColumn("p", _parsed("formula"))
+    rows = rows.withColumn("p", F.arrow_udf(_parsed, f"struct<refs:array<{_REF}>,error:string>")("formula"))
     return Extracted(rows.select(*SHEET, "row", "col", "text", "formula", "p.refs", "p.error"))
 
 
