@@ -71,6 +71,7 @@ def discard(df: DataFrame) -> None:
         jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        reclaim(df.sparkSession)
 
 
 def importable(spark: SparkSession) -> None:
