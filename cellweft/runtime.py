@@ -15,6 +15,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def session(app: str = "cellweft", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and the given settings."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
@@ -82,6 +85,9 @@ def importable(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    # Rows may be long texts: a batch of Spark's default of 10,000 rows can take most of a Python worker's memory.
+    if spark.conf.get(ROWS_A_BATCH) == "10000":
+        spark.conf.set(ROWS_A_BATCH, "1024")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
