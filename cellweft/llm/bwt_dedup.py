@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import pick
-from cellweft.llm.exact_dedup import BUCKET_BITS
+from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, pick
 from cellweft.runtime import discard, materialize
 
 GRAM, WINDOW = 8, 64
 #: Phrases after a bucket's key that an entry brings, at most; what they do not decide is decided by whole windows.
 PHRASES = 16
-#: Buckets of 4 KiB of the bitmaps of repeated keys and of touched documents.
+#: Buckets of 4 KiB, at most, of the bitmaps of repeated keys and of touched documents.
 KEY_BUCKETS, TEXT_BUCKETS = 8192, 1024
 
 _U = np.uint64
@@ -106,29 +105,34 @@ def bucket_keys(c: Cut, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 #: Stands for "longer than what entries bring" as a span, and for an unknown count.
-LONG, UNKNOWN = 1 << 30, -1
+LONG, UNKNOWN = 1023, -1
+#: Counts from here on are not told apart.
+MANY = (1 << 20) - 1
 
 
-def merge(bucket: np.ndarray, phrases: list[np.ndarray], spans: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Common prefixes: (entry, span, count) rows that say in how many places (two at least) the first ``span`` bytes of an entry occur.
+def merge(bucket: np.ndarray, size: np.ndarray, phrases: np.ndarray, spans: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Common prefixes: (entry, span, count, first) rows that say in how many places (two at least) the first ``span`` bytes of an entry occur, and
+    whether the entry is the first that has them.
 
     Spans end with phrases; for each count the longest span is given, so an entry has few rows, its longest common prefix last. Entries that are still shared when the phrases
     that they brought are used up have a last row (LONG, UNKNOWN).
 
-    Entries come by bucket, in each bucket by shard and in the shard's order: ``phrases`` after the key, ``spans`` (bytes from the anchor to the end of the key
-    and of each phrase), and ``times`` that the shard has the entry. Entries of one bucket start with equal keys.
+    Entries come by bucket, in each bucket by shard and in the shard's order. ``size`` counts the phrases that each has after its key; ``phrases`` are these, one entry after
+    the other, and ``spans``, one more for each entry, the bytes from its anchor to the end of the key and of each phrase; ``times`` is how often the shard has the
+    entry. Entries of one bucket start with equal keys.
     """
-    size = np.array([len(p) for p in phrases], np.int64)
     grid = np.zeros((len(bucket), int(size.max(initial=0))), _U)
     reach = np.zeros((len(bucket), grid.shape[1] + 1), np.int64)
     if len(bucket):
-        grid[np.arange(grid.shape[1])[None, :] < size[:, None]] = np.concatenate(phrases)
-        reach[np.arange(reach.shape[1])[None, :] <= size[:, None]] = np.concatenate(spans)
+        grid[np.arange(grid.shape[1])[None, :] < size[:, None]] = phrases
+        reach[np.arange(reach.shape[1])[None, :] <= size[:, None]] = spans
     _, block = np.unique(bucket, return_inverse=True)
     count = np.bincount(block, times)[block].astype(np.int64)
     active = np.nonzero(count >= 2)[0]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    done = lambda rows, h, n: out.append((rows, reach[rows, h], n))
+    first = np.zeros(len(bucket), bool)
+    first[np.unique(block, return_index=True)[1]] = True
+    out: list[tuple[np.ndarray, ...]] = []
+    done = lambda rows, h, n: out.append((rows, reach[rows, h], n, first[rows]))
     for h in range(grid.shape[1]):
         used = size[active] <= h
         done(active[used], h, count[active[used]])
@@ -142,12 +146,13 @@ def merge(bucket: np.ndarray, phrases: list[np.ndarray], spans: list[np.ndarray]
         fell = now != count[order]
         done(order[fell], h, count[order[fell]])
         block[order], count[order] = number, now
+        first[order] = order == np.minimum.reduceat(order, np.nonzero(new)[0])[number]
         active = order[now >= 2]
     else:
         done(active, grid.shape[1], count[active])
-    rows, span, found = map(np.concatenate, zip(*out)) if out else (np.empty(0, np.int64),) * 3
+    rows, span, found, head = map(np.concatenate, zip(*out)) if out else (np.empty(0, np.int64),) * 4
     full = np.unique(rows[(size[rows] >= PHRASES) & (span == reach[rows, size[rows]])])
-    return np.r_[rows, full], np.r_[span, np.full(len(full), LONG)], np.r_[found, np.full(len(full), UNKNOWN)]
+    return np.r_[rows, full], np.r_[span, np.full(len(full), LONG)], np.r_[found, np.full(len(full), UNKNOWN)], np.r_[head.astype(bool), np.ones(len(full), bool)]
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -157,6 +162,25 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == _U else flat).cast(kind))
 
 
+#: Where an entry stands: the text, and the anchor's byte.
+PLACE = np.dtype([("uid", "<i8"), ("anchor", "<i4")])
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Slices of an array, given by their ends, as binary values."""
+    offsets = pa.array((ends * values.itemsize).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
+def _unpacked(column: pa.BinaryArray, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary slices, and how many each slice has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    width = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    data = data[int(ends[0]) : int(ends[-1])] if data is not None else b""
+    return np.frombuffer(data, kind), np.diff(ends) // width
+
+
 def _flat(column: pa.Array, kind: type) -> list[np.ndarray]:
     values, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), column.offsets.to_numpy()
     offsets = offsets - offsets[0]
@@ -178,7 +202,7 @@ def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _repeated_keys(rows: DataFrame, length: int) -> bytes:
-    """A bitmap, of fixed size, of the bucket keys that occur twice or more."""
+    """A bitmap, of bounded size, of the bucket keys that occur twice or more."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,67 +210,81 @@ def _repeated_keys(rows: DataFrame, length: int) -> bytes:
             key, times = np.unique(np.concatenate(found) if found else np.empty(0, _U), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["k", "n"])
 
-    twice = rows.select("text").mapInArrow(keys, "k long, n int").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = bytearray(KEY_BUCKETS * BUCKET_BITS // 8)
-    for r in _bits(twice, KEY_BUCKETS).toLocalIterator():
+    twice = materialize(rows.select("text").mapInArrow(keys, "k long, n int").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k"), "bwt-keys")
+    buckets = bitmap_buckets(twice.count(), KEY_BUCKETS)
+    bitmap = bytearray(buckets * BUCKET_BITS // 8)
+    for r in _bits(twice, buckets).collect():  # KEY_BUCKETS * 4 KiB at most
         start = (r["b"] - 1) * BUCKET_BITS // 8
         bitmap[start : start + len(r["bits"])] = r["bits"]
+    discard(twice)
     return bytes(bitmap)
 
 
 def _entries(rows: DataFrame, length: int) -> DataFrame:
-    """The shards' entries in buckets whose key may be repeated: bucket, phrases, spans, and where the shard has them (uids, anchors)."""
+    """The shards' entries in buckets whose key may be repeated: bucket, phrases, spans, and the places where the shard has them, as bytes."""
     shared = rows.sparkSession.sparkContext.broadcast(_repeated_keys(rows, length))
-    names = ["bucket", "phrases", "spans", "uids", "anchors"]
+    names = ["bucket", "phrases", "spans", "places"]
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         size = _U(len(bits) * 8)
         for batch in batches:
-            keys, whole, seqs, spans, uids, anchors = [], [], [], [], [], []
+            keys, whole, sizes, phrases, spans, uids, anchors = [], [], [], [], [], [], []
             for uid, text in zip(batch.column(0).to_numpy(), batch.column(1)):
                 c = cut(text.as_py(), length)
                 if c is None:
                     continue
                 t, last, key = bucket_keys(c, length)
-                # The sign of Spark's pmod: keys are signed there.
-                at = np.mod(key.view(np.int64), np.int64(size)).astype(np.int64)
+                at = np.mod(key.view(np.int64), np.int64(size)).astype(np.int64)  # keys are signed, as in Spark's pmod
                 use = np.nonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)[0]
                 if not len(use):
                     continue
                 t, last, key, a = t[use], last[use], key[use], c.anchors
                 stop = np.minimum(np.minimum(np.searchsorted(a, a[t] + length + WINDOW), len(a) - 1), last + PHRASES)
-                names_ = c.run(a[:-1], a[1:])
-                seqs += [names_[x:y] for x, y in zip(last, stop)]
-                spans += [a[x : y + 1] - z for x, y, z in zip(last, stop, a[t])]
+                n = stop - last
+                k = np.arange((n + 1).sum()) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1) + np.repeat(last, n + 1)
+                spans.append(a[k] - np.repeat(a[t], n + 1))
+                k = k[k < np.repeat(stop, n + 1)]
+                phrases.append(c.run(a[k], a[k + 1]))
+                sizes.append(n)
                 keys.append(key)
                 whole.append(c.run(a[t], a[stop]) ^ (a[stop] - a[t]).astype(_U))
                 uids.append(np.full(len(t), uid))
                 anchors.append(a[t])
             if not keys:
                 continue
-            keys, whole, uids, anchors = map(np.concatenate, (keys, whole, uids, anchors))
+            keys, whole, sizes, phrases, spans, uids, anchors = map(np.concatenate, (keys, whole, sizes, phrases, spans, uids, anchors))
             order = np.lexsort((whole, keys))
             first = np.nonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (whole[order][1:] != whole[order][:-1])])[0]
-            groups = np.split(order, first[1:])
-            one = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), _lists([seqs[i] for i in one], pa.int64()), _lists([spans[i] for i in one], pa.int32()), _lists([uids[g] for g in groups], pa.int64()), _lists([anchors[g] for g in groups], pa.int32())], names)
+            one, ends = order[first], np.r_[first, len(order)]
+            places = np.empty(len(order), PLACE)
+            places["uid"], places["anchor"] = uids[order], anchors[order]
+            packed_ = [_binary(phrases, np.r_[0, np.cumsum(sizes)]).take(pa.array(one)), _binary(spans.astype(np.uint16), np.r_[0, np.cumsum(sizes + 1)]).take(pa.array(one)), _binary(places, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), *packed_], names)
+
+    return rows.select("uid", "text").mapInArrow(shard, "bucket long, phrases binary, spans binary, places binary")
+
 
-    return rows.select("uid", "text").mapInArrow(shard, "bucket long, phrases array<long>, spans array<int>, uids array<long>, anchors array<int>")
+def packed(anchor: np.ndarray, span: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Anchor, span, whether the place is the first, and the count (0 for unknown), in 31, 10, 1 and 20 bits."""
+    count = np.where(count == UNKNOWN, 0, np.minimum(count, MANY)).astype(np.int64)
+    return (anchor.astype(np.int64) << 31) | (span.astype(np.int64) << 21) | (first.astype(np.int64) << 20) | count
 
 
 def _prefixes(entries: DataFrame) -> DataFrame:
-    """(uid, anchor, span, count): what ``merge`` finds, for each place that has an entry."""
+    """(uid, known): what ``merge`` finds, for each place that has an entry, packed."""
 
     def merged(batch: pa.Table) -> pa.RecordBatch:
-        column = lambda name: pa.concat_arrays(batch.column(name).chunks)
-        uids, anchors = column("uids"), column("anchors")
-        offsets, uid, anchor = uids.offsets.to_numpy() - uids.offsets[0].as_py(), uids.flatten().to_numpy(), anchors.flatten().to_numpy()
-        times = np.diff(offsets)
-        entry, span, count = merge(column("bucket").to_numpy(), _flat(column("phrases"), np.int64), _flat(column("spans"), np.int64), times)
+        column = lambda name, kind: _unpacked(pa.concat_arrays(batch.column(name).chunks), kind)
+        (phrases, size), (spans, _), (places, times) = column("phrases", _U), column("spans", np.uint16), column("places", PLACE)
+        entry, span, count, first = merge(batch.column("bucket").to_numpy(), size, phrases, spans, times)
+        offsets = np.cumsum(times) - times
         n = times[entry]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[entry], n)
-        return pa.RecordBatch.from_arrays([pa.array(uid[place]), pa.array(anchor[place]), pa.array(np.repeat(span, n).astype(np.int32)), pa.array(np.repeat(count, n).astype(np.int32))], ["uid", "anchor", "span", "count"])
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = nth + np.repeat(offsets[entry], n)
+        count, first = np.repeat(count, n), np.repeat(first, n) & (nth == 0)
+        known = packed(places["anchor"][place], np.repeat(span, n), count, first)
+        return pa.RecordBatch.from_arrays([pa.array(places["uid"][place]), pa.array(known)], ["uid", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -266,7 +304,7 @@ def _prefixes(entries: DataFrame) -> DataFrame:
         if held:
             yield merged(pa.Table.from_batches(held))
 
-    return entries.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "uid long, anchor int, span int, count int")
+    return entries.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "uid long, known long")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,53 +317,53 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
     """What common prefixes say of each window of ``length`` bytes.
 
     A window is repeated for sure if a run of phrases around it is. If the run inside it occurs in as many places as the one around it, that settles it: each place of the window is
-    among these. Otherwise the window is open, in all its places: it is to be counted by its own hash.
+    among these. Otherwise the window is open: it is to be counted by its own hash, in places that are not sure, and in the first of those that share a run around it.
 
     Rows of the first kind have starts and ends of runs of sure windows; of the second, the first of a few open windows in a row, and their hashes.
     """
     names = ["uid", "starts", "ends", "first", "hashes"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kind, none = pa.int64(), np.empty(0, np.int64)
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
             uids, starts, ends, firsts, hashes = [], [], [], [], []
-            none = np.empty(0, np.int64)
-            for uid, text, at, span, count in zip(batch.column(0).to_numpy(), batch.column(1), *(_flat(batch.column(k), np.int64) for k in (2, 3, 4))):
+            for uid, text, known in zip(batch.column(0).to_numpy(), batch.column(1), _flat(batch.column(2), np.int64)):
                 c = cut(text.as_py(), length)
                 if c is None:
                     continue
                 a = c.anchors
-                known = np.searchsorted(a, at) * 2 * LONG + span
-                order = np.argsort(known, kind="stable")
-                known, count = np.r_[known[order], 4 * LONG * len(a) + 4 * LONG], np.r_[count[order], 0]
+                known = np.sort(known)
+                count, head = np.r_[known & MANY, 0], np.r_[(known >> 20) & 1, 0]
+                known = np.r_[np.searchsorted(a, known >> 31) << 10 | (known >> 21) & LONG, len(a) << 10 | LONG]
 
-                def places(t: np.ndarray, need: np.ndarray) -> np.ndarray:
-                    """In how many places the run from anchor number t over ``need`` bytes occurs; 0 if in one only."""
-                    j = np.searchsorted(known, t * 2 * LONG + need)
-                    return np.where(known[j] // (2 * LONG) == t, count[j], 0)
+                def places(t: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """In how many places the run from anchor number t over ``need`` bytes occurs (1 if in this one only, 0 if unknown), and whether this is the first."""
+                    j = np.searchsorted(known, t << 10 | need)
+                    here = known[j] >> 10 == t
+                    return np.where(here, count[j], 1), here & (head[j] == 1)
 
                 i = np.arange(c.n - length + 1)
                 f, g = c.picked[i], c.picked[i + length - GRAM + 1 - WINDOW]
-                inside = places(f, a[g] - a[f])
-                some = inside != 0
-                i, f, g, inside = i[some], f[some], g[some], inside[some]
+                inside, _ = places(f, a[g] - a[f])
+                some = inside != 1
+                i, inside = i[some], inside[some]
                 p, q = np.searchsorted(a, i, side="right") - 1, np.searchsorted(a, i + length - GRAM)
                 both = (p >= 0) & (q < len(a))
-                around = np.zeros(len(i), np.int64)
-                around[both] = places(p[both], a[q[both]] - a[p[both]])
+                around, first = np.ones(len(i), np.int64), np.zeros(len(i), bool)
+                around[both], first[both] = places(p[both], a[q[both]] - a[p[both]])
                 sure = around >= 2
+                open_ = ~sure | (first & ((around != inside) | (around == MANY)))
                 flags = np.zeros(c.n - length + 1, bool)
                 flags[i[sure]] = True
                 x, y = _runs(flags)
                 if len(x):
                     uids.append(uid), starts.append(x), ends.append(y), firsts.append(-1), hashes.append(none)
-                open_ = ~(sure & (around == inside))
                 i = i[open_]
                 if len(i):
                     head = np.nonzero(np.r_[True, i[1:] != i[:-1] + 1])[0]
                     own = c.run(i, i + length - GRAM)
                     for first, part in zip(i[head].tolist(), np.split(own, head[1:])):
                         uids.append(uid), starts.append(none), ends.append(none), firsts.append(first), hashes.append(part)
-            kind = pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(uids, kind), _lists(starts, pa.int32()), _lists(ends, pa.int32()), pa.array(firsts, pa.int32()), _lists([h.view(np.int64) for h in hashes], kind)], names)
 
     return texts.mapInArrow(judge, "uid long, starts array<int>, ends array<int>, first int, hashes array<long>")
@@ -356,18 +394,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     Hashes have 64 bits. Null text is empty: 0 bytes, and the hash of none. Texts shorter than ``length`` lose nothing. Rows that repeat, ids
     included, are copies of each other and lose all they have if long enough. Null ids are passed through. Extra columns are ignored. An empty table gives
-    an empty result. ``length`` must be at least 2 * WINDOW + 16.
+    an empty result. ``length`` must be from 2 * WINDOW + 16 to LONG - 2 * WINDOW - 1.
     """
-    if length < 2 * WINDOW + 16:
-        raise ValueError(f"length must be at least {2 * WINDOW + 16}")
+    if not 2 * WINDOW + 16 <= length < LONG - 2 * WINDOW:
+        raise ValueError(f"length must be from {2 * WINDOW + 16} to {LONG - 2 * WINDOW - 1}")
     rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("uid", F.xxhash64("id", "text"))
     entries = materialize(_entries(rows, length), "bwt-entries")
-    hits = _prefixes(entries).groupBy("uid").agg(F.collect_list(F.struct("anchor", "span", "count")).alias("hits"))
-    hits = materialize(hits.select("uid", F.col("hits.anchor").alias("anchors"), F.col("hits.span").alias("spans"), F.col("hits.count").alias("counts")), "bwt-prefixes")
+    hits = _prefixes(entries).groupBy("uid").agg(F.collect_list("known").alias("known"))
+    hits = materialize(hits, "bwt-prefixes")
     discard(entries)
     touched = _marked(rows, hits.select(F.col("uid").alias("k"))).where("hit").select("uid", "text")
-    judged = materialize(_windows(touched.join(hits, "uid").select("uid", "text", "anchors", "spans", "counts"), length), "bwt-windows")
+    judged = materialize(_windows(touched.join(hits, "uid").select("uid", "text", "known"), length), "bwt-windows")
     discard(hits)
     decided = _decided(judged.where("first >= 0"))
     both = judged.where("first < 0").select("uid", "starts", "ends").union(decided)
@@ -378,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept_bytes"][: 8 if kept_bytes else 5]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             out = []
             for text, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3)):
                 data = text.as_py()

@@ -31,3 +31,16 @@ def pick(docs: DataFrame, **columns: str) -> DataFrame:
     Other columns, whatever their names, cannot clash with an operator's own.
     """
     return docs.select(*[docs[f"`{source}`"].alias(name) for name, source in columns.items()])
+
+
+#: Bits of one bucket of Spark's bitmap functions.
+BUCKET_BITS = 8 * 4096
+
+
+def bitmap_buckets(keys: int, most: int, bits_a_key: int = 16) -> int:
+    """How many buckets of 4 KiB a bitmap of so many keys gets: a power of two, ``most`` at most.
+
+    Beyond that the bitmap fills up, and lets more through that does not belong to the keys; it never hides a key.
+    """
+    wanted = -(-keys * bits_a_key // BUCKET_BITS)
+    return min(most, 1 << max(0, wanted - 1).bit_length())

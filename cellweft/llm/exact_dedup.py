@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import ascii_lower, pick
+from cellweft.llm.common import BUCKET_BITS, ascii_lower, pick
 from cellweft.runtime import discard, materialize
 
-#: Bits of one bucket of Spark's bitmap functions.
-BUCKET_BITS = 8 * 4096
-
 
 def _bit(n_bytes: Column, head: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(n_bytes, head), F.lit(buckets * BUCKET_BITS)) + 1
