@@ -90,8 +90,8 @@ def norms(codes: np.ndarray) -> np.ndarray:
 def unit_scores(units: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """f of each unit; of a long one, the largest of its windows."""
     out = np.full(len(units), -np.inf)
-    for k in range(0, len(units), 20_000):
-        codes, owner = coded(units[k : k + 20_000])
+    for k in range(0, len(units), 10_000):
+        codes, owner = coded(units[k : k + 10_000])
         total = np.zeros(len(codes))
         for seen, weight in occurrences(codes):
             total += weights[seen].sum(1) * weight
@@ -138,23 +138,24 @@ class _Kernel:
         codes, _ = coded([z[: WIDTH - 2] for z in landmarks])
         self.columns = np.unique(np.concatenate([seen.ravel() for seen, _ in occurrences(codes)] + [np.zeros(1, np.int64)]))
         self.landmarks = self._rows(codes)
-        values, vectors = np.linalg.eigh(self.landmarks @ self.landmarks.T)
+        values, vectors = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
         keep = values > 1e-4 * values.max()
         self.root = vectors[:, keep] / np.sqrt(values[keep])
 
     def _rows(self, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(codes), len(self.columns)))
+        out = np.zeros((len(codes), len(self.columns)), np.float32)
         row = np.arange(len(codes))[:, None]
         for seen, weight in occurrences(codes):
             at = np.minimum(np.searchsorted(self.columns, seen), len(self.columns) - 1)
             hit = (self.columns[at] == seen) & (seen > 0)
             np.add.at(out, (np.broadcast_to(row, seen.shape)[hit], at[hit]), weight)
-        return out / norms(codes)[:, None]
+        out /= norms(codes)[:, None].astype(np.float32)
+        return out
 
     def features(self, units: list[str]) -> np.ndarray:
         parts = [np.zeros((0, self.root.shape[1]))]
-        for k in range(0, len(units), 1000):
-            parts.append(self._rows(coded([u[: WIDTH - 2] for u in units[k : k + 1000]])[0]) @ self.landmarks.T @ self.root)
+        for k in range(0, len(units), 250):
+            parts.append(self._rows(coded([u[: WIDTH - 2] for u in units[k : k + 250]])[0]) @ self.landmarks.T @ self.root)
         return np.vstack(parts)
 
     def collapsed(self, w: np.ndarray) -> np.ndarray:
@@ -184,11 +185,11 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 30) -> tuple[
 
 def _diverse(units: list[str], most: int, alike: float = 0.92) -> list[str]:
     """The first ``most`` units that are not nearly equal to one before them."""
-    units = list(dict.fromkeys(u[: WIDTH - 2] for u in units))[: 4 * most]
+    units = list(dict.fromkeys(u[: WIDTH - 2] for u in units))[: 2 * most]
     if not units:
         return []
     rows = _Kernel(units).landmarks
-    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
     chosen: list[int] = []
     for i in range(len(units)):
         if len(chosen) < most and rows[i].any() and (not chosen or (rows[chosen] @ rows[i]).max() < alike):
@@ -287,16 +288,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, landmark
             bags = [list(dict.fromkeys(units_of(t.as_py()))) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.string()))], ["id", "label", "units"])
 
-    found = {r["id"]: r for r in rows.mapInArrow(split, "id long, label int, units array<string>").collect()}
-    bags = [found[i] for i in sorted(found)]
     same: dict[str, str] = {}  # one string for each unit
-    return fit([[same.setdefault(u, u) for u in r["units"]] for r in bags], np.array([r["label"] for r in bags], np.int64), landmarks)
+    found: dict[int, tuple[int, list[str]]] = {}
+    for r in rows.mapInArrow(split, "id long, label int, units array<string>").toArrow().to_batches(max_chunksize=64):
+        for ident, label, units in zip(*(r.column(k) for k in range(3))):
+            found[ident.as_py()] = label.as_py(), [same.setdefault(u, u) for u in units.as_py()]
+    bags = [found[i] for i in sorted(found)]
+    return fit([units for _, units in bags], np.array([label for label, _ in bags], np.int64), landmarks)
 
 
 class _Scores(dict):
     """f of units seen by this worker; starts anew when full."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
 
 _seen: dict[int, _Scores] = {}
