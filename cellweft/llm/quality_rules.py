@@ -65,10 +65,11 @@ def thresholds(rows: DataFrame, least_rows: int, fence: float) -> DataFrame:
     merged = lambda df, p: df.agg(F.sum("n").alias(f"{p}_n"), *[F.kll_merge_agg_double(s, F.lit(SKETCH_K)).alias(f"{p}_{s}") for s in SHARES])
     by = materialize(by, "rules-sketches")
     langs = merged(by.groupBy(F.col("lang").alias("l")), "l")
-    out = by.join(langs, by["lang"].eqNullSafe(langs["l"])).crossJoin(F.broadcast(merged(by, "g")))  # one row, of all
+    quartile = lambda name, q: F.kll_sketch_get_quantile_double(name, F.lit(q))
+    of_all = merged(by, "g").where("g_n > 0").select([quartile(f"g_{s}", q).alias(f"{s}_{q}") for s in SHARES for q in (0.25, 0.75)]).first()  # a row of numbers
+    out = by.join(langs, by["lang"].eqNullSafe(langs["l"]))
     for s, least in SHARES.items():
-        sketch = F.when(F.col("n") >= least_rows, F.col(s)).when(F.col("l_n") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"g_{s}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
+        low, high = (F.when(F.col("n") >= least_rows, quartile(s, q)).when(F.col("l_n") >= least_rows, quartile(f"l_{s}", q)).otherwise(F.lit(of_all[f"{s}_{q}"] if of_all else 0.0)) for q in (0.25, 0.75))
         out = out.withColumn(f"max_{s}", F.ceil((high + F.greatest(fence * (high - low), F.lit(least))) / GRID) * GRID)
     return out.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[f"max_{s}" for s in SHARES])
 
