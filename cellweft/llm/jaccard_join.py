@@ -14,19 +14,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import pick
+from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, pick
 from cellweft.llm.components import connected_components
-from cellweft.llm.exact_dedup import BUCKET_BITS
 from cellweft.runtime import discard, materialize
 
 #: Shingles that are put last in the order of rarity, at most: the most frequent ones. The list is broadcast (16 bytes each). It only
 #: steers the work; any order gives the same links.
 FREQUENT = 65_536
-#: Buckets of the suffix filter, and min-hashes for the first, star-shaped round.
-BUCKETS, MINS = 16, 4
-#: Prefix groups above this many sets are verified in blocks of about half as many, inside tasks.
+#: Shingles that a task counts at a time.
+COUNTED = 4_000_000
+#: Buckets of the suffix filter: few while pairs are joined, many before sets are fetched; and min-hashes for the first, star-shaped round.
+BUCKETS, FINE, MINS = 64, 256, 4
+#: Prefix groups above this many sets are verified in blocks of about as many, inside tasks.
 HOT = 256
-#: Buckets of 4 KiB of the bitmap that says whose sets are wanted.
+#: Buckets of 4 KiB, at most, of the bitmap that says whose sets are wanted.
 WANTED = 1024
 #: The same of the bitmap of prefix elements that lie in two components or more.
 OPEN = 4096
@@ -39,7 +40,7 @@ class _Words(dict):
     """Hashes of words; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -48,8 +49,8 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles of ``text``, A-Z lower-cased; of fewer words, the whole sequence."""
+def shingles(text: str | None, width: int, distinct: bool = True) -> np.ndarray:
+    """Hashes of the ``width``-word shingles of ``text``, A-Z lower-cased, sorted and distinct or as they come; of fewer words, the whole sequence."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
@@ -60,7 +61,8 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     x = h[:n] * _MIX[0]
     for k in range(1, width):
         x = ((x ^ (x >> np.uint64(29))) + h[k : k + n]) * _MIX[k % 4]
-    return np.unique(x ^ (x >> np.uint64(32)))
+    x ^= x >> np.uint64(32)
+    return np.unique(x) if distinct else x
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -80,16 +82,27 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 def frequent_shingles(rows: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and estimates of their numbers of documents.
 
-    A task counts the shingles of a batch and passes on those that it has three times or more; their sums are estimates from below. The
+    A task counts its shingles, COUNTED at a time, and passes on those that it has three times or more; their sums are estimates from below. The
     ``most`` largest are kept by a distributed top-k.
     """
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate([*sets, np.empty(0, np.uint64)])
+        slot = (found & np.uint64(0x3FFFFF)).astype(np.int64)
+        found, times = np.unique(found[np.bincount(slot, minlength=1 << 22)[slot] >= 3], return_counts=True)  # the slots only spare the sort most elements
+        keep = times >= 3
+        return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["h", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = [], 0
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
-            found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-            keep = times >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["h", "n"])
+            for text in batch.column(1):
+                sets.append(shingles(text.as_py(), width, distinct=False))
+                size += len(sets[-1])
+                if size > COUNTED:
+                    yield counted(sets)
+                    sets, size = [], 0
+        yield counted(sets)
 
     top = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toPandas()
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
@@ -104,12 +117,12 @@ def signatures(rows: DataFrame, width: int, percent: int, frequent: tuple[np.nda
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for value in batch.column(1):
                 s = shingles(value.as_py(), width)
                 n = len(s)
                 if not n:
-                    for column, x in zip(out, (0, None, [], [], [])):
+                    for column, x in zip(out, (0, None, [], [], b"", [])):
                         column.append(x)
                     continue
                 rank = np.zeros(n, np.int64)
@@ -118,13 +131,29 @@ def signatures(rows: DataFrame, width: int, percent: int, frequent: tuple[np.nda
                     rank = np.where(known[at] == s, times[at], 0)
                 first = s[np.argsort(rank, kind="stable")[: prefix_length(n, percent)]]
                 mins = [int(((s ^ (s >> np.uint64(31 + k))) * _MIX[k % 4]).min() >> np.uint64(4)) * MINS + k for k in range(MINS)]
-                for column, x in zip(out, (n, xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64), np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), mins)):
+                fine = np.bincount((s & np.uint64(FINE - 1)).astype(np.int64), minlength=FINE)
+                few = np.minimum(fine.reshape(-1, BUCKETS).sum(0), 32767)
+                for column, x in zip(out, (n, xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64), few, np.minimum(fine, 255).astype(np.uint8).tobytes(), mins)):
                     column.append(x)
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
 
-    names = ["id", "n", "digest", "prefix", "counts", "mins"]
-    return rows.mapInArrow(sign, "id long, n long, digest binary, prefix array<long>, counts array<int>, mins array<long>")
+    names = ["id", "n", "digest", "prefix", "counts", "fine", "mins"]
+    return rows.mapInArrow(sign, "id long, n long, digest binary, prefix array<long>, counts array<smallint>, fine binary, mins array<long>")
+
+
+def banded(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries by key and band of sizes, which is the length filter as an equality; ``size`` counts a group's entries.
+
+    Sets that can link are in one class of sizes or in two that follow each other. A band is two such classes; an entry is in two bands, in one of them as
+    ``low``. A pair is taken in the band in which one of the two is low, so once. Bands without a low entry, or of one component, have no pair to decide.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(100 / percent)))) if percent < 100 else F.col("n")
+    rows = entries.withColumn("class", size_class.cast("long")).withColumn("band", F.explode(F.array(F.col("class") - 1, F.col("class"))))
+    rows = rows.withColumn("low", F.col("band") == F.col("class")).drop("class")
+    groups = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("low").alias("any_low"))
+    groups = groups.where("least != most and any_low").select("key", "band", "size")
+    return materialize(rows.join(groups, ["key", "band"]), "jaccard-bands")
 
 
 def _bitmap(keys: DataFrame, buckets: int) -> bytes:
@@ -164,8 +193,8 @@ def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
     """An entry for each prefix element that may be in ``keys`` (k): id, comp, n, pos, key, and what the filters need."""
-    shared = placed.sparkSession.sparkContext.broadcast(_bitmap(keys, OPEN))
-    names = ["id", "comp", "n", "pos", "key", "before", "counts"]
+    shared = placed.sparkSession.sparkContext.broadcast(_bitmap(keys, bitmap_buckets(keys.count(), OPEN)))
+    names = ["id", "comp", "n", "pos", "key", "counts"]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -177,11 +206,27 @@ def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
             at = np.nonzero(_hit(bits, hashes))[0]
             owner = np.searchsorted(ends, at, side="right") - 1
             take = pa.array(owner)
-            before = pa.array([flat[ends[o] : k] for o, k in zip(owner, at)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(flat[at]), before, batch.column("counts").take(take)], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(flat[at]), batch.column("counts").take(take)], names)
 
     rows = placed.select("id", "comp", "n", "prefix", F.transform("prefix", lambda k: F.xxhash64(k)).alias("hashes"), "counts")
-    return rows.mapInArrow(choose, "id long, comp long, n long, pos int, key long, before array<long>, counts array<int>")
+    return rows.mapInArrow(choose, "id long, comp long, n long, pos int, key long, counts array<smallint>")
+
+
+def near_enough(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the suffix filter with many buckets (id, n, fine) lets through. Counts stop at 255, which only lowers the bound."""
+    x, y = fine.toDF("a", "n_a", "of_a"), fine.toDF("b", "n_b", "of_b")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int16) for c in ("of_a", "of_b"))
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            mask = pa.array(np.abs(a - b).sum(1, dtype=np.int64) <= total - 2 * -(-percent * total // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+    return both.mapInArrow(choose, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +269,7 @@ def _block_links(percent: int):
         return total
 
     def links(group: pa.Table) -> pa.Table:
-        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "comp", "block"))
+        ids, comp, low, block = (group.column(c).to_numpy() for c in ("id", "comp", "low", "block"))
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("elements")]
         before = [np.asarray(x.as_py(), np.int64) for x in group.column("before")]
@@ -233,7 +278,7 @@ def _block_links(percent: int):
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
             both = product(sets, left, right)
-            ok = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+            ok = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :]) & (low[left][:, None] | low[right][None, :])
             if any(len(b) for b in before):
                 ok &= product(before, left, right) == 0
             root: dict[int, int] = {}
@@ -263,9 +308,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     1. Shingles that are frequent are found by counting within tasks; they come last in the common order.
     2. One scan gives each text's size, set digest, rare-first prefix, bucket counts and min-hashes. Equal sets become one class, so copies are not compared.
     3. Star round: sets with a common min-hash are verified against one pivot of the group, which joins most large groups without listing their pairs.
-    4. Prefix round, exact: prefix elements that lie in one component only are done, since their sets are connected already. Others are joined on the element,
-       under the length filter, the positional filter (what is left after the element's position), and the suffix filter (differences of bucket counts
-       bound the sets' distance from below). Pairs are made distinct and verified once. Groups with more than ``hot`` sets instead go in block pairs of
+    4. Prefix round, exact: prefix elements that lie in one component only are done, since their sets are connected already. Others are joined on the element
+       and a band of sizes (the length filter), under the positional filter (what is left after the element's position), and the suffix filter (differences of bucket counts
+       bound the sets' distance from below; the filter is repeated with more buckets before sets are fetched). Pairs are made distinct and verified once. Groups with more than ``hot`` sets instead go in block pairs of
        bounded size, in which a pair is decided at its first common element and only a spanning forest leaves the task. Every linking pair
        of different components shares a prefix element, so no link that matters is lost; no group is ever cut.
     5. Components over the links of both rounds.
@@ -284,7 +329,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     keys = wide.select("id", "n", "mins").join(reps, "id", "left_semi").select("id", "n", F.explode("mins").alias("key"))
     pivots = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("m"))
     pairs = keys.join(pivots, "key").where((F.col("id") != F.col("a")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select("a", F.col("id").alias("b")).distinct()
-    pairs = materialize(pairs, "jaccard-stars")
+    fine = materialize(wide.where("n > 0").select("id", "n", "fine").dropDuplicates(["id"]), "jaccard-fine")
+    pairs = materialize(near_enough(pairs, fine, percent), "jaccard-stars")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(sets_of(rows, ends(pairs), width).dropDuplicates(["id"]), "jaccard-sets")
     stars = materialize(verified(pairs, sets, percent), "jaccard-links")
@@ -293,31 +339,34 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     # Prefix round.
     placed = reps.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    placed = materialize(wide.drop("digest", "mins").join(placed, "id"), "jaccard-placed")
+    placed = materialize(wide.drop("digest", "mins", "fine").join(placed, "id"), "jaccard-placed")
     discard(wide)
     spread = placed.select("comp", F.explode("prefix").alias("key"))
     open_ = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least != most").select("key", "size")
     open_ = materialize(open_, "jaccard-open")
-    entries = materialize(open_entries(placed, open_.select(F.col("key").alias("k"))).join(open_, "key"), "jaccard-entries")
-    discard(placed)
-    x, y = (entries.where(F.col("size") <= hot).drop("before").alias(side) for side in "xy")
+    entries = materialize(open_entries(placed, open_.select(F.col("key").alias("k"))).join(open_.select("key"), "key", "left_semi"), "jaccard-entries")
+    entries = banded(entries, percent)
+    x, y = (entries.where(F.col("size") <= hot).alias(side) for side in "xy")
     a, b = F.col("x.n"), F.col("y.n")
     need = _least_overlap(a, b, percent)
     positional = 1 + F.least(a - F.col("x.pos") - 1, b - F.col("y.pos") - 1) >= need
     distance = F.expr("aggregate(zip_with(x.counts, y.counts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & (distance <= a + b - 2 * need)
-    pairs = materialize(x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "jaccard-pairs")
-    group = entries.where(F.col("size") > hot).withColumn("blocks", F.ceil(2 * F.col("size") / hot).cast("int"))
-    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("counts", "pos", "size")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.low") | F.col("y.low")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & (distance <= a + b - 2 * need)
+    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = materialize(near_enough(pairs, fine, percent), "jaccard-pairs")
+    discard(fine)
+    group = entries.where(F.col("size") > hot).drop("counts").join(placed.select("id", "prefix"), "id")
+    group = group.withColumns({"blocks": F.ceil(F.col("size") / hot).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
+    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("prefix", "pos", "size")
     wanted = ends(pairs).union(group.select("id").distinct())
     sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")
     more = verified(pairs, sets, percent)
     blocks = group.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    in_blocks = blocks.select("key", "lo", "hi", "id", "comp", "block", "before", "elements").groupBy("key", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
+    in_blocks = blocks.select("key", "band", "lo", "hi", "id", "comp", "low", "block", "before", "elements").groupBy("key", "band", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
     links = materialize(stars.union(more).union(in_blocks), "jaccard-links")
-    discard(entries)
-    discard(sets)
+    for used in (placed, entries, group, sets):
+        discard(used)
     labels = connected_components(links)
 
     of_class = materialize(classes.join(labels, classes["class"] == labels["id"], "left").select("digest", "class", F.coalesce("component", "class").alias("component")), "jaccard-result")
