@@ -8,6 +8,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from cellweft.llm.common import pick
 
 #: Pre-tokens up to CACHED bytes are kept, twice CACHE of them in a worker at most.
-CACHED, CACHE = 48, 400_000
+CACHED, CACHE = 48, 250_000
 #: Bits of a word of the rank queue, as a power of two.
 WORD = 8
 
@@ -161,7 +162,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(data.value, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
             found = []
             for text in batch.column(1):
                 raw = bpe.encode_bytes(text.as_py() or "")
@@ -169,7 +170,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             count, of_ids, of_text, raws = zip(*found) if found else ((), (), (), ())
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             if ids:
-                columns.append(pa.array([memoryview(r).cast("I").tolist() for r in raws], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *map(len, raws)]) // 4
+                columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(raws), np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
