@@ -25,8 +25,8 @@ FREQUENT = 65_536
 COUNTED = 4_000_000
 #: Buckets of the suffix filter: few while pairs are joined, many before sets are fetched; and min-hashes for the first, star-shaped round.
 BUCKETS, FINE, MINS = 64, 256, 4
-#: Prefix groups above this many sets are verified in blocks of about as many, inside tasks.
-HOT = 256
+#: Prefix groups above HOT sets are verified inside tasks, in blocks of about BLOCK sets.
+HOT, BLOCK = 64, 256
 #: Buckets of 4 KiB, at most, of the bitmap that says whose sets are wanted.
 WANTED = 1024
 #: The same of the bitmap of prefix elements that lie in two components or more.
@@ -298,7 +298,7 @@ def _block_links(percent: int):
     return links
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles (size of its set), class_id, component_id.
 
     A text's set holds its distinct ``width``-word shingles, A-Z lower-cased; a text of fewer words has its whole sequence as one. Texts link
@@ -310,8 +310,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     3. Star round: sets with a common min-hash are verified against one pivot of the group, which joins most large groups without listing their pairs.
     4. Prefix round, exact: prefix elements that lie in one component only are done, since their sets are connected already. Others are joined on the element
        and a band of sizes (the length filter), under the positional filter (what is left after the element's position), and the suffix filter (differences of bucket counts
-       bound the sets' distance from below; the filter is repeated with more buckets before sets are fetched). Pairs are made distinct and verified once. Groups with more than ``hot`` sets instead go in block pairs of
-       bounded size, in which a pair is decided at its first common element and only a spanning forest leaves the task. Every linking pair
+       bound the sets' distance from below; the filter is repeated with more buckets before sets are fetched). Pairs are made distinct and verified once. Groups with more than ``hot`` sets instead go in pairs of blocks of about
+       ``block`` sets, in which a pair is decided at its first common element and only a spanning forest leaves the task. Every linking pair
        of different components shares a prefix element, so no link that matters is lost; no group is ever cut.
     5. Components over the links of both rounds.
 
@@ -356,7 +356,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pairs = materialize(near_enough(pairs, fine, percent), "jaccard-pairs")
     discard(fine)
     group = entries.where(F.col("size") > hot).drop("counts").join(placed.select("id", "prefix"), "id")
-    group = group.withColumns({"blocks": F.ceil(F.col("size") / hot).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
+    group = group.withColumns({"blocks": F.ceil(F.col("size") / block).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
     group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("prefix", "pos", "size")
     wanted = ends(pairs).union(group.select("id").distinct())
     sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")

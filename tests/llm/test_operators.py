@@ -178,7 +178,7 @@ def test_jaccard_components(spark, width, percent, hot):
             if i < j and both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = by_id(jaccard_join.jaccard_components(frame(spark, docs), width, percent, hot=hot))
+    got = by_id(jaccard_join.jaccard_components(frame(spark, docs), width, percent, hot=hot, block=4))
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in sets}
 
 
