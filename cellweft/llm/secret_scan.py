@@ -21,6 +21,7 @@ KINDS = ["assign", "access", "hex", "random"]
 
 #: What the efficiency test looks at: long runs of characters that keys are made of.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]+")
 #: Digests in hexadecimal of the usual lengths, UUIDs, and plain numbers are known identifiers, not secrets.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?!\w)|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+", re.IGNORECASE)
 #: Characters for each token: below this a string is random. Prose and code names have 3 and more, random strings about 1.5.
@@ -43,18 +44,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def is_random(run: str, bpe: Bpe, ratio: float = RATIO) -> bool:
     """Whether a run of characters is a random string.
 
-    It must not be a known identifier and must mix digits with letters, or upper with lower case inside words, as
-    keys do; then the vocabulary, which has learnt what prose and code are made of, must compress it badly.
+    It must not be a known identifier, and the vocabulary, which has learnt what prose and code are made of, must compress it badly. Nothing else
+    is asked of it: letters alone will do, and short parts too. The parts between separators are judged without these, which cost a token each;
+    upper-case parts of a joined run count as in lower case if that is shorter, since names of constants are words as well.
     """
     if KNOWN.fullmatch(run):
         return False
-    digits = sum(c.isdigit() for c in run)
-    if digits < 2 or digits == len(run):
-        return False
-    if max(map(len, re.split(r"[^A-Za-z0-9]+", run))) < 12:  # short parts, joined: a path or a name
-        return False
-    tokens = len(bpe.encode_bytes(run)) // 4
-    return len(run) < ratio * tokens
+    parts = PART.findall(run)
+    ids = 0
+    for part in parts:
+        n = len(bpe.encode_bytes(part))
+        ids += min(n, len(bpe.encode_bytes(part.lower()))) if len(parts) > 1 and part.isupper() else n
+    return sum(map(len, parts)) < ratio * (ids // 4)
 
 
 def random_spans(text: str, bpe: Bpe, taken: list[tuple[int, int, int]], ratio: float = RATIO) -> list[tuple[int, int, int]]:
@@ -76,7 +77,7 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, ratio: float =
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Base spans (assignments of six or more characters to
     a name such as ``password``; access keys; runs of hexadecimal digits) always stay. The efficiency test adds ``random`` spans: runs of
     key characters with less than ``ratio`` characters for each token of the vocabulary in ``ranks_path``, unless they are known digests,
-    UUIDs, numbers or names of short parts, or overlap a base span. ``base_sha256`` is the hash of the base spans as text.
+    UUIDs or numbers, or overlap a base span. Made-up or rare words can fall below it, too. ``base_sha256`` is the hash of the base spans as text.
 
     Null text is empty text: no spans, and the hash of the empty string. Rows are independent: no shuffle, repeated rows give
     repeated results, null ids are passed through. Whole texts are read. Extra columns are ignored. An empty table gives an empty result.

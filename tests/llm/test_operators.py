@@ -153,6 +153,14 @@ def test_secret_scan(spark):
     assert got[4]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_random_runs_of_letters_one_digit_and_short_parts():
+    coder = bpe.load(bpe.read_ranks(RANKS), PATTERN)
+    for key in ("zKqvQbmTyxLwFRbNapYcGHdF", "QZXWVKJYHGFBPMTD", "xkqzjvwpmtbhrgydfc", "zKqvQbmTyx7wFRbNapYc", "CCFZI-EQN2D-VVO3G-NK6GT", "JPQTU-WFBGK-QVZKX"):
+        assert secret_scan.is_random(key, coder), key
+    for name in ("getElementByIdentifier", "XMLHttpRequestFactory", "ABSTRACT_FACTORY_BEAN", "path/to/some/file/name", "the-quick-brown-fox-jumps", "UTF-8/UTF-16/UTF-32", "Donaudampfschifffahrtsgesellschaft"):
+        assert not secret_scan.is_random(name, coder), name
+
+
 def _shingle_set(t, width):
     w = words(lower(t))
     return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
