@@ -71,9 +71,18 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*keys).agg(F.min(F.struct("seq", *rest)).alias("e")).select(*keys[:4], "e.seq", *RECT, *[f"e.{c}" for c in rest])
 
 
-def referenced_blanks(edges: DataFrame, cells: DataFrame, max_cells: int | None = 100) -> DataFrame:
-    """Cells that formulas refer to and that do not exist: file, sheet, row, col."""
+def referenced_blanks(edges: DataFrame, cells: DataFrame, max_cells: int | None = None) -> DataFrame:
+    """Cells that formulas refer to and that do not exist: file, sheet, row, col.
+
+    Every cell of every range counts, unless ``max_cells`` cuts long ranges as in ``cell_edges``. Without it, ranges are merged by columns before they
+    are listed, so a cell is listed once, however many ranges have it.
+    """
     from cellweft.operators.chains import cell_edges
+    from cellweft.operators.lookup import cells_of, lines
 
-    found = cell_edges(edges, max_cells).select(*SHEET, F.col("prec_row").alias("row"), F.col("prec_col").alias("col")).distinct()
+    if max_cells is None:
+        columns = lines(edges.select(F.lit(0).cast("long").alias("qid"), *SHEET, *RECT).distinct())
+        found = cells_of(columns.select("qid", *SHEET, "r1", F.col("col").alias("c1"), "r2", F.col("col").alias("c2"))).drop("qid")
+    else:
+        found = cell_edges(edges, max_cells).select(*SHEET, F.col("prec_row").alias("row"), F.col("prec_col").alias("col")).distinct()
     return found.join(cells.select(*SHEET, "row", "col"), [*SHEET, "row", "col"], "left_anti")

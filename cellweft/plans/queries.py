@@ -87,6 +87,16 @@ def referenced_blank_cells(spark, sf_dir):
     return referenced_blanks(found.edges_raw, found.cells).select("row", "col")
 
 
+@query("""WITH a AS (SELECT DISTINCT o_custkey % 97 AS k FROM orders), x AS (SELECT DISTINCT unnest(range(k * 100, k * 103 + 50)) AS r FROM a)
+    SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM x, (SELECT unnest([1, 2]) AS c) WHERE NOT (c = 1 AND r IN (SELECT o_orderkey FROM orders))""")
+def referenced_blank_ranges(spark, sf_dir):
+    """Ranges of 100 to 676 cells, some of which overlap; the formulas stand in one of their columns."""
+    k = F.col("o_custkey") % 97
+    text = F.format_string("=SUM(B%d:C%d)", k * 100 + 1, k * 103 + 50)
+    found = extract(table(spark, sf_dir, "orders").select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.col("o_orderkey").cast("int").alias("row"), F.lit(1).alias("col"), text.alias("text")))
+    return referenced_blanks(found.edges_raw, found.cells).select("row", "col")
+
+
 @query("SELECT CAST(s_suppkey - (SELECT min(s_suppkey) FROM supplier) + 1 AS INT) AS \"row\", s_name AS name, 'orders:C' || CAST(s_suppkey + 1 AS VARCHAR) AS ref FROM supplier")
 def manifest(spark, sf_dir):
     low = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey")).first()[0]

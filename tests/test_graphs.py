@@ -6,7 +6,7 @@ import pytest
 
 from cellweft.operators import chains, edit, lookup
 from cellweft.operators.compress import Options, compress, expand
-from cellweft.operators.extract import extract
+from cellweft.operators.extract import extract, referenced_blanks
 from cellweft.plans.analyzer import SheetAnalyzer
 from cellweft.sources.grid import grid_cells
 from cellweft.sources.workbook import read_workbooks, write_xlsx
@@ -108,6 +108,14 @@ def test_chains_and_cycles(spark):
     assert chains.cell_edges(capped).count() == 100 and chains.cell_edges(capped, None).count() == 250
 
 
+def test_referenced_blanks_are_not_capped(spark):
+    found = extract(grid_cells(spark, {"s": [["=SUM(B1:B250)", "", "=SUM(B200:C260)"], ["", "1"]]}))
+    wanted = sorted({(r, 1) for r in range(250)} | {(r, c) for r in range(199, 260) for c in (1, 2)})
+    exists = {tuple(r) for r in found.cells.select("row", "col").collect()}
+    assert rows(referenced_blanks(found.edges_raw, found.cells), "row", "col") == [x for x in wanted if x not in exists]
+    assert referenced_blanks(found.edges_raw, found.cells, 100).count() < 200
+
+
 def test_rejected_cells_and_blank_formulas(spark):
     found = extract(grid_cells(spark, {"a,b": [["=Other!A1", "=1+2", "x"]]}))
     assert rows(found.cells, "sheet", "col", "is_formula", "num_refs") == [("a-b", 0, False, None), ("a-b", 1, True, 0), ("a-b", 2, False, None)]
