@@ -266,9 +266,12 @@ def _entries(rows: DataFrame, length: int) -> DataFrame:
 
 
 def packed(anchor: np.ndarray, span: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Anchor, span, whether the place is the first, and the count (0 for unknown), in 31, 10, 1 and 20 bits."""
+    """Anchor, span, whether the place is not the first, and the count (0 for unknown), in 31, 10, 1 and 20 bits.
+
+    Equal rows of a table share a uid, and what is known of their places. If one of them is the first, its entry sorts ahead of those of the others.
+    """
     count = np.where(count == UNKNOWN, 0, np.minimum(count, MANY)).astype(np.int64)
-    return (anchor.astype(np.int64) << 31) | (span.astype(np.int64) << 21) | (first.astype(np.int64) << 20) | count
+    return (anchor.astype(np.int64) << 31) | (span.astype(np.int64) << 21) | ((~first).astype(np.int64) << 20) | count
 
 
 def _prefixes(entries: DataFrame) -> DataFrame:
@@ -333,7 +336,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                     continue
                 a = c.anchors
                 known = np.sort(known)
-                count, head = np.r_[known & MANY, 0], np.r_[(known >> 20) & 1, 0]
+                count, head = np.r_[known & MANY, 0], np.r_[1 - ((known >> 20) & 1), 0]
                 known = np.r_[np.searchsorted(a, known >> 31) << 10 | (known >> 21) & LONG, len(a) << 10 | LONG]
 
                 def places(t: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -206,6 +206,25 @@ def test_bwt_dedup(spark, docs, df):
         assert bytes(r["kept_bytes"]) == kept
 
 
+def test_bwt_dedup_repeated_rows_and_a_third_text(spark):
+    rng, length = random.Random(11), 200
+    make = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    rows = []
+    for k in range(12):
+        text = make(1500)
+        rows += [(None if k % 4 == 3 else k, text)] * 2 + [(100 + k, make(300) + text[400 + 7 * k : 600 + 14 * k + k % 2] + make(300))]
+    seen = Counter(t[k : k + length] for _, t in rows for k in range(len(t) - length + 1))
+    wanted = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if seen[t[k : k + length]] > 1:
+                gone[k : k + length] = True
+        wanted.append((i, int(gone.sum())))
+    got = bwt_dedup.remove_repeats(frame(spark, rows).repartition(3), kept_bytes=False).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(wanted, key=repr)
+
+
 def test_token_rollup_is_idempotent_and_signed(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
     make = lambda rows: spark.createDataFrame(rows, token_rollup.CHANGES)
