@@ -190,6 +190,19 @@ def coalesced_ranges(spark, sf_dir):
     return lookup.coalesce_rects(rows, ["sheet"]).drop("sheet")
 
 
+@query("""WITH p AS (SELECT o_orderkey % 97 * 2 AS c, o_orderkey % 97 * 2 + o_custkey % 3 AS d, o_orderkey // 97 * 3 AS r, o_orderkey // 97 * 3 + o_custkey // 3 % 8 AS e FROM orders),
+    w AS (SELECT *, max(e) OVER (PARTITION BY c, d ORDER BY r, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p),
+    g AS (SELECT *, sum(CASE WHEN b IS NULL OR r > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY c, d ORDER BY r, e ROWS UNBOUNDED PRECEDING) AS k FROM w),
+    v AS (SELECT c, d, min(r) AS r1, max(e) AS r2 FROM g GROUP BY c, d, k),
+    x AS (SELECT *, max(d) OVER (PARTITION BY r1, r2 ORDER BY c, d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v),
+    h AS (SELECT *, sum(CASE WHEN b IS NULL OR c > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY r1, r2 ORDER BY c, d ROWS UNBOUNDED PRECEDING) AS k FROM x)
+    SELECT CAST(r1 AS INT) AS r1, CAST(min(c) AS INT) AS c1, CAST(r2 AS INT) AS r2, CAST(max(d) AS INT) AS c2 FROM h GROUP BY r1, r2, k""")
+def coalesced_ranges_all(spark, sf_dir):
+    """Rectangles of all orders, which touch and overlap downwards and across."""
+    rows = table(spark, sf_dir, "orders").selectExpr("'s' AS sheet", "cast(o_orderkey div 97 * 3 AS int) AS r1", "cast(o_orderkey % 97 * 2 AS int) AS c1", "cast(o_orderkey div 97 * 3 + o_custkey div 3 % 8 AS int) AS r2", "cast(o_orderkey % 97 * 2 + o_custkey % 3 AS int) AS c2")
+    return lookup.coalesce_rects(rows, ["sheet"]).drop("sheet")
+
+
 @query("""SELECT o_orderkey AS a, s_suppkey AS b FROM orders, supplier WHERE o_orderkey * 3 % 5000 <= s_suppkey * 40 + s_nationkey * 3 AND s_suppkey * 40 <= o_orderkey * 3 % 5000 + o_custkey % 20
     AND o_custkey % 5 <= s_nationkey % 5 + 1 AND s_nationkey % 5 <= o_custkey % 5""")
 def interval_join(spark, sf_dir):
