@@ -1,14 +1,14 @@
-"""Removal of long repeated byte strings, by Burrows-Wheeler transforms of shards and their interleaved merge.
+"""Removal of long repeated byte strings, by refining the suffixes of shards phrase by phrase, in place of Burrows-Wheeler transforms and their merge.
 
 Texts are cut into phrases at anchors: positions whose 8-byte gram has the least hash of some WINDOW grams in a row. Anchors depend on the bytes near them
-only, so two copies of a string of ``length`` bytes have the same anchors inside, and the same phrases between these. The alphabet of the transform is the
-phrases (named by 64-bit hashes of their bytes), and its suffixes start at anchors, about one for 32 bytes.
-
-A shard (an Arrow batch of documents) keeps its suffixes in buckets by their first phrases, sorted within. The merge refines the interleave of all
-shards' entries of a bucket: it starts with one block, and each step splits the blocks by their next phrase, stably, and leaves out blocks of one entry, which
-are final. What a block has in common when an entry leaves it is that entry's longest common prefix with any other. No suffix is compared with all others, and
-none is sorted again as a whole. As the next phrase of an entry lies on another machine, entries bring the few phrases that ``length`` bytes can reach with
-them, instead of asking for them by a shuffle in each step.
+only, so two copies of a string of ``length`` bytes have the same anchors inside, and the same phrases between these. The alphabet is the
+phrases (named by 64-bit hashes of their bytes), and suffixes start at anchors, about one for 32 bytes.
+
+No transform is built. A shard (an Arrow batch of documents) puts its suffixes in buckets by their first phrases, and sorts them by bucket key and by a hash of their
+bytes, only to find equal ones. The merge is a radix refinement: it starts with one block of all shards' entries of a bucket, and each step sorts the entries of the blocks by their next
+phrase, splits the blocks, and leaves out blocks of one entry, which are final. What a block has in common when an entry leaves it is that entry's longest common
+prefix with any other. No suffix is compared with all others. As the next phrase of an entry lies on another machine, entries bring the few phrases that ``length``
+bytes can reach with them, instead of asking for them by a shuffle in each step.
 """
 
 from __future__ import annotations
