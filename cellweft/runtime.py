@@ -15,7 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings of Arrow batches: Spark's defaults, and what the engine sets where they stand.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def session(app: str = "cellweft", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,10 +50,15 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/cellweft/{tag}-{uuid.uuid4().hex}"
 
 
+#: Tables that ``materialize`` has made and that were not discarded yet, in turn.
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     path, schema = shared_path(spark, tag), df.schema
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     del df
     reclaim(spark)
@@ -71,12 +77,29 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     path = getattr(df, "_cellweft_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
         reclaim(df.sparkSession)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def tables_made() -> list[str]:
+    """The tables made so far, for ``sweep``."""
+    return list(_made)
+
+
+def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Delete the tables made since ``before`` was taken, but for ``keep``: no later plan may read them."""
+    for path in [p for p in _made if p not in before and p != getattr(keep, "_cellweft_path", None)]:
+        _delete(spark, path)
+    reclaim(spark)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
@@ -85,9 +108,10 @@ def importable(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
-    # Rows may be long texts: a batch of Spark's default of 10,000 rows can take most of a Python worker's memory.
-    if spark.conf.get(ROWS_A_BATCH) == "10000":
-        spark.conf.set(ROWS_A_BATCH, "1024")
+    # Rows may be long texts: batches of Spark's default size can take most of a Python worker's memory.
+    for key, (default, smaller) in BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, smaller)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
