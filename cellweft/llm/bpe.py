@@ -14,10 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import pick
+from cellweft.llm.common import hold, pick, tidy
 
-#: Pre-tokens up to CACHED bytes are kept, twice CACHE of them in a worker at most.
-CACHED, CACHE = 48, 250_000
+#: Pre-tokens up to CACHED bytes are kept, twice CACHE of them in a worker at most (about 130 bytes each).
+CACHED, CACHE = 48, 150_000
 #: Bits of a word of the rank queue, as a power of two.
 WORD = 8
 
@@ -143,6 +143,7 @@ _loaded: dict[tuple[str, str], Bpe] = {}
 def load(data: bytes, pattern: str) -> Bpe:
     """The encoder for a rank file; a Python worker keeps it, and its cache, from task to task."""
     key = (hashlib.sha256(data).hexdigest(), pattern)
+    hold("bpe", _loaded.clear)
     if key not in _loaded:
         _loaded[key] = Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}, pattern)
     return _loaded[key]
@@ -177,4 +178,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     kinds = ["long", "long", "string", "string", "array<int>"]
-    return rows.mapInArrow(encode, ", ".join(f"`{n}` {k}" for n, k in list(zip(names, kinds))[: 4 + ids]))
+    return rows.mapInArrow(tidy(encode), ", ".join(f"`{n}` {k}" for n, k in list(zip(names, kinds))[: 4 + ids]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, pick
+from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, pick, tidy
 from cellweft.runtime import discard, materialize
 
 GRAM, WINDOW = 8, 64
@@ -210,7 +210,7 @@ def _repeated_keys(rows: DataFrame, length: int) -> bytes:
             key, times = np.unique(np.concatenate(found) if found else np.empty(0, _U), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["k", "n"])
 
-    twice = materialize(rows.select("text").mapInArrow(keys, "k long, n int").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k"), "bwt-keys")
+    twice = materialize(rows.select("text").mapInArrow(tidy(keys), "k long, n int").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k"), "bwt-keys")
     buckets = bitmap_buckets(twice.count(), KEY_BUCKETS)
     bitmap = bytearray(buckets * BUCKET_BITS // 8)
     for r in _bits(twice, buckets).collect():  # KEY_BUCKETS * 4 KiB at most
@@ -262,7 +262,7 @@ def _entries(rows: DataFrame, length: int) -> DataFrame:
             packed_ = [_binary(phrases, np.r_[0, np.cumsum(sizes)]).take(pa.array(one)), _binary(spans.astype(np.uint16), np.r_[0, np.cumsum(sizes + 1)]).take(pa.array(one)), _binary(places, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(keys[one].view(np.int64)), *packed_], names)
 
-    return rows.select("uid", "text").mapInArrow(shard, "bucket long, phrases binary, spans binary, places binary")
+    return rows.select("uid", "text").mapInArrow(tidy(shard), "bucket long, phrases binary, spans binary, places binary")
 
 
 def packed(anchor: np.ndarray, span: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -307,7 +307,7 @@ def _prefixes(entries: DataFrame) -> DataFrame:
         if held:
             yield merged(pa.Table.from_batches(held))
 
-    return entries.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, "uid long, known long")
+    return entries.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(tidy(run), "uid long, known long")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -369,7 +369,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                         uids.append(uid), starts.append(none), ends.append(none), firsts.append(first), hashes.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(uids, kind), _lists(starts, pa.int32()), _lists(ends, pa.int32()), pa.array(firsts, pa.int32()), _lists([h.view(np.int64) for h in hashes], kind)], names)
 
-    return texts.mapInArrow(judge, "uid long, starts array<int>, ends array<int>, first int, hashes array<long>")
+    return texts.mapInArrow(tidy(judge), "uid long, starts array<int>, ends array<int>, first int, hashes array<long>")
 
 
 def _decided(rows: DataFrame) -> DataFrame:
@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     kind = dict(docs.select(docs[f"`{id_col}`"]).dtypes)[id_col]
     kinds = [kind, "long", "long", "long", "string", "array<long>", "array<long>", "binary"]
-    done = marked.where("hit").join(found, "uid", "left").select("id", "text", "starts", "ends").mapInArrow(strip, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    done = marked.where("hit").join(found, "uid", "left").select("id", "text", "starts", "ends").mapInArrow(tidy(strip), ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
     zero, empty = F.lit(0).cast("long"), F.array().cast("array<long>")
     whole = [F.col("id"), F.octet_length("text").cast("long"), zero, zero, F.sha2("text", 256), empty, empty, F.col("text")]
     return done.union(marked.where(~F.col("hit")).select(*whole[: len(names)]))

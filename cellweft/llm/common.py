@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,36 @@ def pick(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[docs[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+#: What empties the cache of the operator that this Python worker serves.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Let this Python worker keep the cache of ``owner``, and empty those of other operators: workers are reused from query to query."""
+    for name in [k for k in _held if k != owner]:
+        _held.pop(name)()
+    _held[owner] = clear
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], clear: Callable[[], None] | None = None):
+    """``run`` for ``mapInArrow``, which calls ``clear`` and gives memory back as the task ends: an idle worker keeps what it holds."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if clear:
+            clear()
+        release()
+
+    return wrapped
+
+
 #: Bits of one bucket of Spark's bitmap functions.
 BUCKET_BITS = 8 * 4096
 
@@ -44,3 +77,33 @@ def bitmap_buckets(keys: int, most: int, bits_a_key: int = 16) -> int:
     """
     wanted = -(-keys * bits_a_key // BUCKET_BITS)
     return min(most, 1 << max(0, wanted - 1).bit_length())
+
+
+def bitmap(keys: DataFrame, bit: Column) -> DataFrame:
+    """The bitmap of ``keys``, a row for each bucket of 4 KiB that has any; ``bit`` is a key's bit, from 1 on."""
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("bit_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+
+
+def marked(rows: DataFrame, bits: DataFrame, bit: Column) -> DataFrame:
+    """``rows`` with ``marked``: whether their bit is set in the broadcast bitmap ``bits``."""
+    rows = rows.withColumns({"bit_bucket": F.bitmap_bucket_number(bit), "bit_at": F.bitmap_bit_position(bit)}).join(F.broadcast(bits), "bit_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.withColumn("marked", F.coalesce(F.getbit(byte, (F.col("bit_at") % 8).cast("int")) == 1, F.lit(False))).drop("bit_bucket", "bit_at", "bits")
+
+
+#: Buckets of 4 KiB, at most, of the bitmap of dropped ids.
+DROPPED = 4096
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is not among those of ``dropped`` (of: distinct ids, in a written table).
+
+    Dropped ids are marked in a broadcast bitmap of bounded size. Rows without a mark, nearly all that stay, come straight from the scan; only marked ones, which are dropped but for a few
+    marked by chance, meet the ids in an anti join. So texts that stay do not cross a shuffle, however many ids there are. A full bitmap costs work, never a row. Rows with a null id stay.
+    """
+    size = bitmap_buckets(dropped.count(), DROPPED) * BUCKET_BITS
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
+    rows = marked(rows, bitmap(dropped, bit("of")), bit("id"))
+    rest = rows.where("marked").join(dropped, rows["id"] == dropped["of"], "left_anti")
+    return rows.where("not marked").select("row.*").union(rest.select("row.*"))

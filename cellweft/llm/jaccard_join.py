@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, pick
+from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, hold, pick, release, tidy
 from cellweft.llm.components import connected_components
 from cellweft.runtime import discard, materialize
 
@@ -22,7 +22,7 @@ from cellweft.runtime import discard, materialize
 #: steers the work; any order gives the same links.
 FREQUENT = 65_536
 #: Shingles that a task counts at a time.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Buckets of the suffix filter: few while pairs are joined, many before sets are fetched; and min-hashes for the first, star-shaped round.
 BUCKETS, FINE, MINS = 64, 256, 4
 #: Prefix groups above HOT sets are verified inside tasks, in blocks of about BLOCK sets.
@@ -40,7 +40,7 @@ class _Words(dict):
     """Hashes of words; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -51,6 +51,7 @@ _words = _Words()
 
 def shingles(text: str | None, width: int, distinct: bool = True) -> np.ndarray:
     """Hashes of the ``width``-word shingles of ``text``, A-Z lower-cased, sorted and distinct or as they come; of fewer words, the whole sequence."""
+    hold("jaccard", _words.clear)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
@@ -88,8 +89,8 @@ def frequent_shingles(rows: DataFrame, width: int, most: int) -> tuple[np.ndarra
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         found = np.concatenate([*sets, np.empty(0, np.uint64)])
-        slot = (found & np.uint64(0x3FFFFF)).astype(np.int64)
-        found, times = np.unique(found[np.bincount(slot, minlength=1 << 22)[slot] >= 3], return_counts=True)  # the slots only spare the sort most elements
+        slot = (found & np.uint64(0x1FFFFF)).astype(np.int64)
+        found, times = np.unique(found[np.bincount(slot, minlength=1 << 21)[slot] >= 3], return_counts=True)  # the slots only spare the sort most elements
         keep = times >= 3
         return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["h", "n"])
 
@@ -104,7 +105,7 @@ def frequent_shingles(rows: DataFrame, width: int, most: int) -> tuple[np.ndarra
                     sets, size = [], 0
         yield counted(sets)
 
-    top = rows.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toPandas()
+    top = rows.mapInArrow(tidy(count, _words.clear), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toPandas()
     h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], n[order]
@@ -139,7 +140,7 @@ def signatures(rows: DataFrame, width: int, percent: int, frequent: tuple[np.nda
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names)
 
     names = ["id", "n", "digest", "prefix", "counts", "fine", "mins"]
-    return rows.mapInArrow(sign, "id long, n long, digest binary, prefix array<long>, counts array<smallint>, fine binary, mins array<long>")
+    return rows.mapInArrow(tidy(sign, _words.clear), "id long, n long, digest binary, prefix array<long>, counts array<smallint>, fine binary, mins array<long>")
 
 
 def banded(entries: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +189,7 @@ def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], ["id", "elements"])
 
-    return found.mapInArrow(make, "id long, elements binary")
+    return found.mapInArrow(tidy(make, _words.clear), "id long, elements binary")
 
 
 def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(flat[at]), batch.column("counts").take(take)], names)
 
     rows = placed.select("id", "comp", "n", "prefix", F.transform("prefix", lambda k: F.xxhash64(k)).alias("hashes"), "counts")
-    return rows.mapInArrow(choose, "id long, comp long, n long, pos int, key long, counts array<smallint>")
+    return rows.mapInArrow(tidy(choose), "id long, comp long, n long, pos int, key long, counts array<smallint>")
 
 
 def near_enough(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +227,7 @@ def near_enough(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
-    return both.mapInArrow(choose, "a long, b long")
+    return both.mapInArrow(tidy(choose), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +247,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(verify, "a long, b long").distinct()
+    return both.mapInArrow(tidy(verify), "a long, b long").distinct()
 
 
 def _block_links(percent: int):
@@ -293,6 +294,7 @@ def _block_links(percent: int):
                 if find(a) != find(b):
                     root[find(a)] = find(b)
                     out.append((int(ids[left[i]]), int(ids[right[j]])))
+        release()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return links

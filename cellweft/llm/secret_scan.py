@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm.bpe import Bpe, load, read_ranks
-from cellweft.llm.common import pick
+from cellweft.llm.common import pick, tidy
 
 # The base patterns, by kind, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -100,4 +100,4 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, ratio: float =
 
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     kinds = ["long"] * 5 + ["string"] * 2
-    return rows.mapInArrow(scan, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    return rows.mapInArrow(tidy(scan), ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))

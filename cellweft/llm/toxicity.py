@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import pick
+from cellweft.llm.common import hold, pick, tidy
 
 DECAY, SPAN = 0.7, 7
 #: Units longer than WIDTH are seen through windows of WIDTH characters that overlap by half.
@@ -300,12 +300,53 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, landmark
 class _Scores(dict):
     """f of units seen by this worker; starts anew when full."""
 
-    LIMIT = 250_000
+    LIMIT = 120_000
 
 
 _seen: dict[int, _Scores] = {}
 
 
+def _top_units(machine: Machine, token: int, texts: pa.Array) -> tuple[list[float], list[str | None]]:
+    """f of each text's most toxic unit, and that unit; a worker keeps the scores of units that it has seen."""
+    hold("toxicity", _seen.clear)
+    if token not in _seen:
+        _seen.clear()
+        _seen[token] = _Scores()
+    seen, tops, words = _seen[token], [], []
+    for k in range(0, len(texts), 256):
+        bags = [units_of(t.as_py()) for t in texts.slice(k, 256)]
+        if len(seen) > _Scores.LIMIT:
+            seen.clear()
+        new = list({u for b in bags for u in b}.difference(seen))
+        if new:
+            seen.update(zip(new, unit_scores(new, machine.weights, machine.bias).tolist()))
+        for b in bags:
+            best = max(b, key=seen.__getitem__) if b else None
+            words.append(best)
+            tops.append(seen[best] if b else -3.0)
+    return tops, words
+
+
+def _token(machine: Machine) -> int:
+    return int(np.abs(machine.weights).sum() * 1e6) ^ hash((machine.bias, machine.slope, machine.offset))
+
+
+def without_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the machine does not predict to be toxic.
+
+    Each row is judged by its own text, in one scan without a join or shuffle. Null and empty texts have no units and get the least score of all.
+    """
+    shared, token, at = docs.sparkSession.sparkContext.broadcast(machine), _token(machine), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            p = m.probability(np.array(_top_units(m, token, batch.column(at))[0]))
+            yield batch.filter(pa.array(p < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(tidy(keep), docs.schema)
+
+
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, score (0 to 1), predicted (1 if score >= 0.5, else 0), unit (the most toxic one).
 
@@ -316,34 +357,17 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
     Null and empty texts have no units and get the least score of all. Null ids and repeated rows are passed through. Extra columns
     are ignored. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-    token = int(np.abs(machine.weights).sum() * 1e6) ^ hash((machine.bias, machine.slope, machine.offset))
+    shared, token = docs.sparkSession.sparkContext.broadcast(machine), _token(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if token not in _seen:
-            _seen.clear()
-            _seen[token] = _Scores()
-        seen = _seen[token]
         for batch in batches:
-            tops: list[float] = []
-            words: list[str | None] = []
-            for k in range(0, batch.num_rows, 256):
-                bags = [units_of(t.as_py()) for t in batch.column(1).slice(k, 256)]
-                if len(seen) > _Scores.LIMIT:
-                    seen.clear()
-                new = list({u for b in bags for u in b}.difference(seen))
-                if new:
-                    seen.update(zip(new, unit_scores(new, m.weights, m.bias).tolist()))
-                for b in bags:
-                    best = max(b, key=seen.__getitem__) if b else None
-                    words.append(best)
-                    tops.append(seen[best] if b else -3.0)
+            tops, words = _top_units(m, token, batch.column(1))
             p = m.probability(np.array(tops))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(words, pa.string())], [id_col, "score", "predicted", "unit"])
 
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(score, f"`{id_col}` long, score double, predicted int, unit string")
+    return rows.mapInArrow(tidy(score), f"`{id_col}` long, score double, predicted int, unit string")
 
 
 def held_out(ident: Column) -> Column:

@@ -2,10 +2,10 @@
 
 ``STAGES`` are (name, function) pairs. Each function takes (spark, docs, sf_dir), ``docs`` being what the stage before it returned,
 and returns a DataFrame; all but the last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet in the shared
-folder and reads them again for the next one, so that a lost executor costs at most a stage.
+folder and reads them again for the next one, so that a lost executor costs at most a stage; what a stage has read and made is deleted after it.
 
-Rows whose doc_id repeats are one document: a dedup stage that keeps a doc_id keeps all rows that have it. Rows with a null
-doc_id are never joined to a decision and are kept by the filtering stages.
+Each row is judged by its text in the toxicity stage. In the dedup stages rows whose doc_id repeats are one document: a stage that keeps a doc_id keeps all rows
+that have it. Rows with a null doc_id are never joined to a decision and are kept by these stages.
 """
 
 from __future__ import annotations
@@ -17,36 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweft.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from cellweft.llm.common import without
 from cellweft.llm.queries import RANKS
-from cellweft.runtime import materialize, table
+from cellweft.runtime import discard, materialize, sweep, table, tables_made
 
 #: Iterated and fitted stages cannot be said in SQL.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose ids are not in ``rejected`` (of)."""
-    return docs.join(rejected, docs["doc_id"] == rejected["of"], "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine, fitted on this stage's input and the labels outside the held-out fold, does not predict to be toxic."""
     labels = table(spark, sf_dir, "labels")
-    machine = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    found = materialize(toxicity.score_toxicity(docs, machine).where("predicted = 1").select(F.col("doc_id").alias("of")).distinct(), "pipeline-toxic")
-    return _without(docs, found)
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id")))))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the document with the largest doc_id."""
-    found = materialize(exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("of")).distinct(), "pipeline-copies")
-    return _without(docs, found)
+    found = exact_dedup.exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("of"))
+    return without(docs, materialize(found.dropna().distinct(), "pipeline-copies"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts that share 80 percent of their five-word shingles, the document with the smallest doc_id."""
     found = jaccard_join.jaccard_components(docs, width=5, percent=80).where("component_id != doc_id").select(F.col("doc_id").alias("of"))
-    return _without(docs, materialize(found.distinct(), "pipeline-near"))
+    return without(docs, materialize(found.distinct(), "pipeline-near"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +65,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before, read = tables_made(), docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{k}")
+            sweep(spark, before, docs)
+            discard(read)
     return docs
