@@ -1,30 +1,31 @@
 """Lossless compression of raw edges into pattern edges, set-based.
 
 A raw edge joins a precedent box to one dependent cell. Along a run of dependent cells (down a column or across a row) each pattern is an equality of a
-few numbers, so runs are islands of consecutive cells with one key, and windows find them without folding over formulas in turn:
+few numbers, so runs are islands of consecutive cells with one key. They are found by sorting arrays, not by folding over formulas in turn:
 
-1. for each edge, the length of its island under four patterns and two directions;
-2. each edge takes its longest island; ties go to down before across, then to the corner flags' pattern if asked for, then RR, RF, FR, FF;
-3. islands are numbered again among the edges that took the same pattern, since members may have left; those of one edge are NoComp;
-4. if asked for, NoComp edges with equal RR keys at equal steps of 2 to 8 become gap runs;
-5. islands are aggregated.
+1. by columns: for each edge, the length of its island under four patterns, and the best of these;
+2. by blocks of rows: the same across, and the choice: each edge takes its longest island; ties go to down before across, then to the corner flags' pattern if asked for, then RR, RF, FR, FF;
+3. by lines: islands are numbered again among the edges that took the same pattern, since members may have left; each is one stored edge, those of one edge are NoComp;
+4. if asked for, NoComp edges with equal RR keys at equal steps of 2 to 8 become gap runs.
 
-Every raw edge is in exactly one stored edge. The windows of a direction all hold within one line of cells of a sheet, so each
-direction costs one shuffle by (file, sheet, line), and the choice another.
+Every raw edge is in exactly one stored edge. Each step is one shuffle by (file, sheet, line). A group is a column, which a sheet's limits bound at 1,048,576 cells, or a block of
+BLOCK_ROWS rows, bounded at 16,384 cells each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.functions.patterns import gap_label, gap_step, offsets
+from cellweft.functions.patterns import gap_step, offsets
 from cellweft.functions.ranges import rect
 from cellweft.model import FF, FR, GAPS, NO_COMP, RF, RR, SHEET
 from cellweft.operators.extract import distinct_edges
+from cellweft.runtime import lanes
 
 
 @dataclass(frozen=True)
@@ -38,70 +39,153 @@ class Options:
     type_sensitive: bool = False
 
 
-def _keys(pattern: str, down: bool) -> list[Column]:
-    """What is equal for all edges of a run, besides the line."""
-    r, c = F.col("dep_row"), F.col("dep_col")
-    if down:
-        start = r - F.col("r1") if pattern in (RR, RF) else F.col("r1")
-        end = r - F.col("r2") if pattern in (RR, FR) else F.col("r2")
-        return [start, F.col("c1"), end, F.col("c2")]
-    start = c - F.col("c1") if pattern in (RR, RF) else F.col("c1")
-    end = c - F.col("c2") if pattern in (RR, FR) else F.col("c2")
-    return [start, F.col("r1"), end, F.col("r2")]
+#: Patterns by code, in order of preference; NONE stands for NoComp.
+CODES, NONE = [RR, RF, FR, FF], 4
+#: Rows that are looked at together for runs across.
+BLOCK_ROWS = 256
+_BOX = ["r1", "c1", "r2", "c2"]
+_ABS = [f"abs_{k}" for k in _BOX]
+_EDGE = ["dep_row", "dep_col", *_BOX]
+_FOUND = "file string, sheet string, dep_row int, dep_col int, r1 int, c1 int, r2 int, c2 int, edge_type string, may boolean"
+_STORED = "file string, sheet string, p_r1 int, p_c1 int, p_r2 int, p_c2 int, d_r1 int, d_c1 int, d_r2 int, d_c2 int, pattern string, edge_type string, may boolean"
 
 
-_CHOICES = [(p, down) for down in (True, False) for p in (RR, RF, FR, FF)]
+class _Edges:
+    """Columns of a group of edges as arrays."""
+
+    def __init__(self, group: pa.Table, typed: bool) -> None:
+        self.group, self.n = group, group.num_rows
+        for name in _EDGE:
+            setattr(self, name, group.column(name).to_numpy().astype(np.int64))
+        types = group.column("edge_type").combine_chunks().dictionary_encode()
+        types = types.combine_chunks() if isinstance(types, pa.ChunkedArray) else types
+        self.types, self.names = types.indices.to_numpy(zero_copy_only=False).astype(np.int64), types.dictionary.to_pylist()
+        self.kind = self.types if typed else np.zeros(self.n, np.int64)
+
+    def flag(self, name: str) -> np.ndarray:
+        return self.group.column(name).to_numpy(zero_copy_only=False).astype(bool)
+
+    def keys(self, code: int, down: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What is equal for all edges of a run, besides the line: a number for each corner."""
+        at, a1, a2, b1, b2 = (self.dep_row, self.r1, self.r2, self.c1, self.c2) if down else (self.dep_col, self.c1, self.c2, self.r1, self.r2)
+        start = at - a1 if code in (0, 1) else a1
+        end = at - a2 if code in (0, 2) else a2
+        return start << 21 | b1, end << 21 | b2
+
+
+def _sorted_islands(keys: list[np.ndarray], along: np.ndarray, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which islands (equal keys, ``along`` going up by ``step``) are together, and the places in it at which they start."""
+    order = np.lexsort((along, *keys))
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    new = np.diff(along[order], prepend=along[order[0]]) != step
+    for k in keys:
+        new |= np.diff(k[order], prepend=k[order[0]] - 1) != 0
+    new[0] = True
+    return order, np.nonzero(new)[0]
+
+
+def _best(e: _Edges, down: bool, may: np.ndarray, dollar: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Length and code of the best island of each edge in one direction."""
+    line, along = (e.dep_col, e.dep_row) if down else (e.dep_row, e.dep_col)
+    length, code, score = np.ones(e.n, np.int64), np.full(e.n, NONE), np.full(e.n, -1, np.int64)
+    fixed = [e.flag(f"abs_{'r' if down else 'c'}{k}") for k in (1, 2)] if dollar else []
+    for p in range(4):
+        order, first = _sorted_islands([*e.keys(p, down), e.kind, may.astype(np.int64), line], along)
+        n = np.empty(e.n, np.int64)
+        size = np.diff(np.r_[first, e.n])
+        n[order] = np.repeat(size, size)
+        n[~may] = 1
+        hint = ((fixed[0] == (p in (2, 3))) & (fixed[1] == (p in (1, 3)))).astype(np.int64) if dollar else 0
+        now = n * 8 + hint * 4 + 3 - p
+        better = now > score
+        length, code, score = np.where(better, n, length), np.where(better, p, code), np.where(better, now, score)
+    return length, np.where(length > 1, code, NONE)
+
+
+def _by_columns(options: Options):
+    """Edges without repeats inside a formula (the one that comes first in its list stays), with ``may``, and the best island downwards."""
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group.column("seq").to_numpy(), *(group.column(k).to_numpy() for k in reversed(_EDGE))))
+        same = np.ones(len(order), bool)
+        for k in _EDGE:
+            x = group.column(k).to_numpy()[order]
+            same &= np.diff(x, prepend=x[0] - 1) == 0
+        group = group.take(pa.array(order[~same]))
+        e = _Edges(group, options.type_sensitive)
+        may = np.ones(e.n, bool)
+        if options.in_row:
+            cell = np.cumsum(np.diff(e.dep_row, prepend=-1) != 0) - 1
+            may = np.bincount(cell, (e.r1 != e.dep_row) | (e.r2 != e.dep_row))[cell] == 0
+        length, code = _best(e, True, may, options.dollar)
+        out = group.select(["file", "sheet", *_EDGE, "edge_type", *_ABS])
+        return out.append_column("may", pa.array(may)).append_column("n", pa.array(length)).append_column("code", pa.array(code.astype(np.int32)))
+
+    return run
+
+
+def _by_rows(options: Options):
+    """The best island across, and the choice: ``down`` and ``code``."""
+
+    def run(group: pa.Table) -> pa.Table:
+        e = _Edges(group, options.type_sensitive)
+        n, code = group.column("n").to_numpy(), group.column("code").to_numpy()
+        across, other = _best(e, False, e.flag("may"), options.dollar)
+        down = n >= across
+        out = group.select(["file", "sheet", *_EDGE, "edge_type", "may"])
+        return out.append_column("down", pa.array(down)).append_column("code", pa.array(np.where(down, code, other).astype(np.int32)))
+
+    return run
+
+
+def _strings(value: str, n: int) -> pa.Array:
+    return pa.array([value]).take(pa.array(np.zeros(n, np.int64)))
+
+
+def _stored(e: _Edges, order: np.ndarray, first: np.ndarray, patterns: np.ndarray, names: list[str], may: np.ndarray) -> pa.Table:
+    """A stored edge for each island."""
+    low = lambda x: pa.array(np.minimum.reduceat(x[order], first).astype(np.int32) if len(first) else np.zeros(0, np.int32))
+    high = lambda x: pa.array(np.maximum.reduceat(x[order], first).astype(np.int32) if len(first) else np.zeros(0, np.int32))
+    types = pa.array([*e.names, "OTHER"], pa.string())
+    one, last = low(e.types).to_numpy(), high(e.types).to_numpy()
+    kind = types.take(pa.array(np.where(one == last, one, len(types) - 1)))
+    columns = [low(e.r1), low(e.c1), high(e.r2), high(e.c2), low(e.dep_row), low(e.dep_col), high(e.dep_row), high(e.dep_col)]
+    of = pa.array(names, pa.string()).take(pa.array(patterns))
+    where = [_strings(e.group.column(k)[0].as_py(), len(first)) if e.n else pa.array([], pa.string()) for k in SHEET]
+    return pa.table([*where, *columns, of, kind, pa.array(may[order[first]])], names=[f.split()[0] for f in _STORED.split(", ")])
+
+
+def _by_lines(options: Options):
+    """Stored edges: islands among the edges of one pattern."""
+
+    def run(group: pa.Table) -> pa.Table:
+        e = _Edges(group, options.type_sensitive)
+        down, code, may = bool(group.column("down")[0].as_py()), group.column("code").to_numpy().astype(np.int64), e.flag("may")
+        line, along = (e.dep_col, e.dep_row) if down else (e.dep_row, e.dep_col)
+        corners = [e.keys(p, down) for p in range(4)] + [(np.arange(e.n),) * 2]  # an edge without a pattern is an island of its own
+        k1, k2 = (np.choose(code, [c[k] for c in corners]) for k in (0, 1))
+        order, first = _sorted_islands([k1, k2, e.kind, may.astype(np.int64), code, line], along)
+        size = np.diff(np.r_[first, e.n])
+        return _stored(e, order, first, np.where(size > 1, code[order[first]], NONE), [*CODES, NO_COMP], may)
+
+    return run
 
 
 def compress(edges: DataFrame, options: Options = Options()) -> DataFrame:
     """Stored edges (EDGES_COMP) of raw edges; repeats inside a formula count once."""
-    e = distinct_edges(edges)
-    typed = ["edge_type"] if options.type_sensitive else []
+    n = lanes(edges.sparkSession)
+    e = edges.select(*SHEET, *_EDGE, "seq", "edge_type", *_ABS).repartition(n, *SHEET, "dep_col").groupBy(*SHEET, "dep_col")
+    schema = _FOUND.removesuffix(", may boolean") + "".join(f", {k} boolean" for k in _ABS) + ", may boolean, n long, code int"
+    e = e.applyInArrow(_by_columns(options), schema)
     if options.in_row:
-        own = Window.partitionBy(*SHEET, "dep_row", "dep_col")
-        e = e.withColumn("may", F.min((F.col("r1") == F.col("dep_row")) & (F.col("r2") == F.col("dep_row"))).over(own))
+        e = e.drop(*_ABS, "n").withColumn("down", F.lit(True)).select(*[f.split()[0] for f in _FOUND.split(", ")], "down", "code")
     else:
-        e = e.withColumn("may", F.lit(True))
-    lengths = []
-    for down in (True,) if options.in_row else (True, False):
-        line, along = ("dep_col", "dep_row") if down else ("dep_row", "dep_col")
-        e = e.repartition(*SHEET, line)
-        for p in (RR, RF, FR, FF):
-            name = f"n{len(lengths)}"
-            key = [*map(F.col, [*SHEET, line, "may", *typed]), *_keys(p, down)]
-            e = e.withColumn("island", F.col(along) - F.row_number().over(Window.partitionBy(*key).orderBy(along)))
-            e = e.withColumn(name, F.count("*").over(Window.partitionBy(*key, "island")))
-            lengths.append((name, p, down))
-    best = []
-    for rank, (name, p, down) in enumerate(lengths):
-        hint = F.lit(0)
-        if options.dollar:
-            axis = "r" if down else "c"
-            fixed_start, fixed_end = p in (FR, FF), p in (RF, FF)
-            hint = ((F.col(f"abs_{axis}1") == fixed_start) & (F.col(f"abs_{axis}2") == fixed_end)).cast("int")
-        best.append(F.struct(F.when(F.col("may"), F.col(name)).otherwise(F.lit(1).cast("long")).alias("n"), F.lit(int(down)).alias("down"), hint.alias("hint"), F.lit(-rank).alias("rank"), F.lit(p).alias("pattern")))
-    e = e.withColumn("best", F.greatest(*best) if len(best) > 1 else best[0])
-    e = e.withColumns({"down": F.col("best.down") == 1, "pattern": F.when(F.col("best.n") > 1, F.col("best.pattern")).otherwise(NO_COMP)})
-    e = e.drop("best", "island", *[n for n, _, _ in lengths])
-    line, along = F.when(F.col("down"), F.col("dep_col")).otherwise(F.col("dep_row")), F.when(F.col("down"), F.col("dep_row")).otherwise(F.col("dep_col"))
-    chosen = lambda k: F.coalesce(*[F.when((F.col("pattern") == p) & (F.col("down") == down), _keys(p, down)[k]) for p, down in _CHOICES])
-    e = e.withColumns({"line": line, "along": along, **{f"k{k}": chosen(k) for k in range(4)}})
-    run = [*SHEET, "down", "line", "pattern", "k0", "k1", "k2", "k3", *typed]
-    single = F.when(F.col("pattern") == NO_COMP, F.struct("seq", "dep_row", "dep_col", "r1", "c1", "r2", "c2"))
-    e = e.withColumn("island", F.col("along") - F.row_number().over(Window.partitionBy(*run, single).orderBy("along")))
-    e = e.withColumn("pattern", F.when(F.count("*").over(Window.partitionBy(*run, single, "island")) > 1, F.col("pattern")).otherwise(NO_COMP))
-    if options.gap:
-        e = _with_gaps(e, options)
-    else:
-        e = e.withColumn("run", F.lit(0))
-    single = F.when(F.col("pattern") == NO_COMP, F.struct("dep_row", "dep_col", "r1", "c1", "r2", "c2"))
-    found = e.groupBy(*run, single.alias("single"), "island", "run").agg(
-        F.min("r1").alias("p_r1"), F.min("c1").alias("p_c1"), F.max("r2").alias("p_r2"), F.max("c2").alias("p_c2"),
-        F.min("dep_row").alias("d_r1"), F.min("dep_col").alias("d_c1"), F.max("dep_row").alias("d_r2"), F.max("dep_col").alias("d_c2"),
-        F.when(F.min("edge_type") == F.max("edge_type"), F.min("edge_type")).otherwise("OTHER").alias("type"),
-    )
-    found = found.drop("edge_type").withColumnRenamed("type", "edge_type")
-    return with_offsets(found)
+        block = F.expr(f"dep_row div {BLOCK_ROWS}").alias("block")
+        e = e.repartition(n, *SHEET, F.expr(f"dep_row div {BLOCK_ROWS}")).groupBy(*SHEET, block).applyInArrow(_by_rows(options), _FOUND + ", down boolean, code int")
+    line = F.when(F.col("down"), F.col("dep_col")).otherwise(F.expr(f"dep_row div {BLOCK_ROWS}").cast("int"))
+    e = e.withColumn("line", line).repartition(n, *SHEET, "down", "line").groupBy(*SHEET, "down", "line").applyInArrow(_by_lines(options), _STORED)
+    return with_offsets(_with_gaps(e, options) if options.gap else e)
 
 
 def with_offsets(stored: DataFrame) -> DataFrame:
@@ -131,35 +215,45 @@ def _gap_runs(positions: list[int]) -> list[tuple[int, int]]:
     return [(run, steps[run]) for run in member]
 
 
+def _gap_islands(down: bool):
+    """Gap runs of one line or block of lines, as stored edges; edges that are in none come back as they are."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = dict(zip(("p_r1", "p_c1", "p_r2", "p_c2", "d_r1", "d_c1"), ("r1", "c1", "r2", "c2", "dep_row", "dep_col")))
+        e = _Edges(group.rename_columns([names.get(c, c) for c in group.column_names]), False)
+        line, along = (e.dep_col, e.dep_row) if down else (e.dep_row, e.dep_col)
+        keys = [*e.keys(0, down), line]
+        order = np.lexsort((along, *keys))
+        new = np.zeros(e.n, bool)
+        for k in keys:
+            new |= np.diff(k[order], prepend=k[order[0]] - 1) != 0
+        first = np.nonzero(new)[0]
+        run_of, step_of = np.arange(e.n), np.zeros(e.n, np.int64)
+        for a, b in zip(first, np.r_[first[1:], e.n]):
+            if b - a > 1:
+                found = np.array(_gap_runs(along[order[a:b]].tolist()))
+                run_of[a:b], step_of[a:b] = a + found[:, 0], found[:, 1]
+        # run numbers are places of a key's range in the order, so they are distinct
+        again = np.argsort(run_of, kind="stable")
+        starts = np.nonzero(np.diff(run_of[again], prepend=-1) != 0)[0]
+        steps = step_of[again][starts]
+        return _stored(e, order[again], starts, np.where(steps > 0, steps - 2, len(GAPS)), [*GAPS, NO_COMP], e.flag("may"))
+
+    return run
+
+
 def _with_gaps(e: DataFrame, options: Options) -> DataFrame:
-    """Turn NoComp edges at equal steps into gap runs, down first, then across. Only keys with two edges or more reach Python, one key at a time."""
-    cols = e.columns
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("along", kind="stable")
-        found = _gap_runs([int(x) for x in pdf["along"]])
-        pdf["run"] = [run + 1 if step else 0 for run, step in found]
-        pdf["pattern"] = [GAPS[step - 2] if step else NO_COMP for _, step in found]
-        pdf["island"] = 0
-        return pdf
-
-    e = e.withColumn("run", F.lit(0))
+    """Turn NoComp edges at equal steps into gap runs, down first, then across."""
     for down in (True,) if options.in_row else (True, False):
-        left = e.where((F.col("pattern") == NO_COMP) & F.col("may"))
-        rest = e.where(~((F.col("pattern") == NO_COMP) & F.col("may")))
-        line, along = ("dep_col", "dep_row") if down else ("dep_row", "dep_col")
-        keys = dict(zip(("k0", "k1", "k2", "k3"), (k.cast("int") for k in _keys(RR, down))))
-        left = left.withColumns({"down": F.lit(down), "line": F.col(line), "along": F.col(along), **keys})
-        group = [*SHEET, "line", "k0", "k1", "k2", "k3"]
-        left = left.withColumn("of_key", F.count("*").over(Window.partitionBy(*group)))
-        alone, several = left.where("of_key = 1").drop("of_key"), left.where("of_key > 1").drop("of_key")
-        several = several.select(*cols, "run").groupBy(*group).applyInPandas(place, several.select(*cols, "run").schema)
-        e = rest.unionByName(alone).unionByName(several)
+        is_open = (F.col("pattern") == NO_COMP) & F.col("may")
+        line = F.col("d_c1") if down else F.expr(f"d_r1 div {BLOCK_ROWS}").cast("int")
+        left = e.where(is_open).withColumn("line", line).repartition(lanes(e.sparkSession), *SHEET, "line").groupBy(*SHEET, "line")
+        e = e.where(~is_open).unionByName(left.applyInArrow(_gap_islands(down), _STORED))
     return e
 
 
-def expand(stored: DataFrame) -> DataFrame:
-    """The raw edges of stored ones: file, sheet, dep_row, dep_col, r1, c1, r2, c2, edge_type. The inverse of ``compress`` but for order and $."""
+def expand(stored: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """The raw edges of stored ones: file, sheet, dep_row, dep_col, r1, c1, r2, c2, edge_type, and columns ``also``. The inverse of ``compress`` but for order and $."""
     step = gap_step(F.col("pattern"))
     cells = stored.withColumn("down", F.col("d_c1") == F.col("d_c2"))
     rows = F.when(F.col("down"), F.sequence("d_r1", "d_r2", step)).otherwise(F.sequence("d_r1", "d_r2"))
@@ -173,7 +267,7 @@ def expand(stored: DataFrame) -> DataFrame:
         F.when(start, F.col("dep_col") - F.col("so_c")).otherwise(F.col("p_c1")).alias("c1"),
         F.when(end, F.col("dep_row") - F.col("eo_r")).otherwise(F.col("p_r2")).alias("r2"),
         F.when(end, F.col("dep_col") - F.col("eo_c")).otherwise(F.col("p_c2")).alias("c2"),
-        "edge_type",
+        "edge_type", *(also or []),
     )
 
 
@@ -184,4 +278,4 @@ def as_stored(edges: DataFrame) -> DataFrame:
     return with_offsets(stored)
 
 
-__all__ = ["Options", "as_stored", "compress", "expand", "gap_label", "with_offsets"]
+__all__ = ["Options", "as_stored", "compress", "expand", "with_offsets"]

@@ -16,6 +16,8 @@ from cellweft.runtime import discard, materialize
 QUERY = "qid long, file string, sheet string, r1 int, c1 int, r2 int, c2 int"
 #: Levels of a dyadic bucketing of rows: 2**20 rows in a sheet.
 LEVELS = 21
+#: Query rows up to which each stored edge is compared with all of its sheet, and up to which they are broadcast in the interval join.
+FEW, SOME = 64, 20_000
 
 
 def queries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -37,30 +39,34 @@ def _points(df: DataFrame, at: str) -> DataFrame:
     return df.withColumn("bucket", F.expr(f"shiftright({at}, level)"))
 
 
-def interval_join(a: DataFrame, b: DataFrame, a_rect: tuple[str, str, str, str], b_rect: tuple[str, str, str, str]) -> DataFrame:
+def interval_join(a: DataFrame, b: DataFrame, a_rect: tuple[str, str, str, str], b_rect: tuple[str, str, str, str], small: bool = False) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` of one file and sheet whose rectangles overlap, by equi-joins on dyadic row buckets.
 
     Two row intervals overlap if the first row of one lies in the other: ``a``'s in ``b``'s, or ``b``'s, when it is the later one, in ``a``'s. A point meets one
     bucket on each of LEVELS levels, an interval at most two buckets on its own; so the join is a hash join on keys, whatever the sizes, and a sheet's
-    rows spread over many keys.
+    rows spread over many keys. ``small`` says that ``a`` has at most SOME rows and is to be broadcast: ``b`` is not shuffled then.
     """
+    sent = F.broadcast if small else lambda df: df
     b = b.withColumnsRenamed({k: f"b_{k}" for k in SHEET})
     key = lambda x, y: (x["file"] == y["b_file"]) & (x["sheet"] == y["b_sheet"]) & (x["level"] == y["b_level"]) & (x["bucket"] == y["b_bucket"])
     named = lambda df: df.withColumnsRenamed({"level": "b_level", "bucket": "b_bucket"})
     (ar1, ac1, ar2, ac2), (br1, bc1, br2, bc2) = a_rect, b_rect
     across = (F.col(ac1) <= F.col(bc2)) & (F.col(bc1) <= F.col(ac2))
     x, y = _points(a, ar1), named(_intervals(b, br1, br2))
-    one = x.join(y, key(x, y) & across & F.col(ar1).between(F.col(br1), F.col(br2)))
+    x = sent(x)
+    one = y.join(x, key(x, y) & across & F.col(ar1).between(F.col(br1), F.col(br2)))
     x, y = _intervals(a, ar1, ar2), named(_points(b, br1))
-    two = x.join(y, key(x, y) & across & F.col(br1).between(F.col(ar1), F.col(ar2)) & (F.col(br1) > F.col(ar1)))
+    x = sent(x)
+    two = y.join(x, key(x, y) & across & F.col(br1).between(F.col(ar1), F.col(ar2)) & (F.col(br1) > F.col(ar1)))
     extra = ["level", "bucket", "b_level", "b_bucket", "b_file", "b_sheet"]
     return one.drop(*extra).unionByName(two.drop(*extra))
 
 
-def _overlapping(q: DataFrame, stored: DataFrame, side: str, small: bool) -> DataFrame:
+def _overlapping(q: DataFrame, stored: DataFrame, side: str, rows: int) -> DataFrame:
+    """Stored edges that overlap queries; ``rows`` is the number of these, or a bound of it."""
     box = [f"{side}_{k}" for k in ("r1", "c1", "r2", "c2")]
-    if not small:
-        return interval_join(q, stored, ("r1", "c1", "r2", "c2"), tuple(box))
+    if rows > FEW:
+        return interval_join(q, stored, ("r1", "c1", "r2", "c2"), tuple(box), rows <= SOME)
     q = F.broadcast(q.withColumnsRenamed({k: f"q_{k}" for k in SHEET}))
     hit = overlaps(rect("r1", "c1", "r2", "c2"), rect(*box))
     return stored.join(q, (q["q_file"] == stored["file"]) & (q["q_sheet"] == stored["sheet"]) & hit).drop("q_file", "q_sheet")
@@ -89,7 +95,7 @@ def _mapped(hits: DataFrame, side: str, chains: bool) -> DataFrame:
 
 
 def _direct(q: DataFrame, stored: DataFrame, side: str, small: bool) -> DataFrame:
-    hits = _mapped(_overlapping(q, stored, side, small), side, False)
+    hits = _mapped(_overlapping(q, stored, side, 0 if small else SOME + 1), side, False)
     prec, dep = ("x", "y") if side == "p" else ("y", "x")
     start = F.col("pattern").isin("RR", "RF", *GAPS)
     end = F.col("pattern").isin("RR", "FR", *GAPS)
@@ -133,13 +139,14 @@ def _closure(q: DataFrame, stored: DataFrame, side: str, max_levels: int, chains
     def boxed(df: DataFrame) -> DataFrame:
         return df.select("qid", *SHEET, "r1", F.col("col").alias("c1"), "r2", F.col("col").alias("c2"))
 
-    frontier = q
+    frontier, rows = q, q.count()
     covered: DataFrame | None = None
     for _ in range(max_levels):
-        hits = _mapped(_overlapping(frontier, stored, side, False), side, chains)
+        hits = _mapped(_overlapping(frontier, stored, side, rows), side, chains)
         reached = lines(hits.select("qid", *SHEET, "y.*"))
         new = materialize(lines(boxed(subtract_lines(reached, covered))) if covered is not None else reached, "closure")
-        if not new.take(1):
+        rows = new.count()
+        if not rows:
             discard(new)
             break
         union = new if covered is None else materialize(lines(boxed(covered.unionByName(new))), "closure")

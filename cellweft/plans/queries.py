@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions import patterns, ranges
 from cellweft.functions.ranges import rect
+from cellweft.model import DEP, PREC
 from cellweft.operators import chains, edit, lookup, stats
 from cellweft.operators.compress import Options, as_stored, compress, expand
 from cellweft.operators.extract import Extracted, distinct_edges, extract, referenced_blanks
@@ -39,12 +40,14 @@ def query(sql: str | None = None):
     return register
 
 
-def _sheet(spark: SparkSession, sf_dir: str, name: str = "orders", columns: str = "ABCDEFGH") -> Extracted:
-    return extract(sheet_texts(spark, sf_dir, name, columns))
+def _sheet(spark: SparkSession, sf_dir: str, name: str = "orders", columns: str = "ABCDEFGH", again: bool = False) -> Extracted:
+    """The template sheet, parsed; ``again`` says that its tables are read more than once, and that the parse is to be written."""
+    found = extract(sheet_texts(spark, sf_dir, name, columns))
+    return Extracted(materialize(found.parsed, "parsed")) if again else found
 
 
-def _graph(spark: SparkSession, sf_dir: str, options: Options = Options(), name: str = "orders", columns: str = "ABCDEFGH") -> DataFrame:
-    return materialize(compress(_sheet(spark, sf_dir, name, columns).edges_raw, options), "graph")
+def _graph(spark: SparkSession, sf_dir: str, options: Options = Options(), name: str = "orders", columns: str = "ABCDEFGH", sheet: Extracted | None = None) -> DataFrame:
+    return materialize(compress((sheet or _sheet(spark, sf_dir, name, columns)).edges_raw, options), "graph")
 
 
 def _asked(spark: SparkSession, col: int) -> DataFrame:
@@ -246,14 +249,29 @@ def gap_run(spark, sf_dir):
     return stats.pattern_counts(_graph(spark, sf_dir, Options(gap=True), columns="AG")).select("stored", "represented", "pattern")
 
 
-@query(f"""WITH f AS (SELECT o_orderkey % 11 AS r, o_custkey % 5 AS c FROM orders), p AS (SELECT DISTINCT * FROM f)
-    SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, TRUE AS rr, r = 0 AS rf, FALSE AS ff, CAST(r + 3 AS INT) AS start_row FROM p""")
+@query(f"""WITH n AS (SELECT CAST(count(*) AS INT) AS n FROM orders), g AS (SELECT CAST(o_orderkey - (SELECT min(o_orderkey) FROM orders) AS INT) AS r FROM orders), x AS (
+    SELECT 0, 0, n - 1, 0, 0, 1, n - 1, 1, 'RR' FROM n UNION ALL SELECT 0, 0, n - 1, 0, 0, 2, n - 1, 2, 'FR' FROM n UNION ALL SELECT 0, 0, n - 1, 0, 0, 3, n - 1, 3, 'RF' FROM n
+    UNION ALL SELECT 0, 5, n - 2, 5, 1, 5, n - 1, 5, 'RR' FROM n UNION ALL SELECT 1, 0, n - 1, 0, 1, 5, n - 1, 5, 'RR' FROM n UNION ALL SELECT r, 0, r, 0, r, 6, r, 6, 'NoComp' FROM g WHERE r % 3 = 0)
+    SELECT * FROM x t(p_r1, p_c1, p_r2, p_c2, d_r1, d_c1, d_r2, d_c2, pattern)""")
+def stored_edges(spark, sf_dir):
+    """The stored edges themselves, by box and pattern."""
+    return _graph(spark, sf_dir, columns="ABCDFG").select(*PREC, *DEP, "pattern")
+
+
+_STEPS = """SELECT DISTINCT o_orderkey % 11 AS r, o_custkey % 5 AS c, o_orderkey % 3 AS h, o_custkey // 5 % 3 AS w, o_orderkey // 11 % 3 AS sr, o_custkey // 15 % 3 AS sc, o_orderkey // 33 % 3 AS er, o_custkey // 45 % 3 AS ec FROM orders"""
+_SAME = {"rr": ("dr", "dc", "dr", "dc"), "rf": ("dr", "dc", 0, 0), "fr": (0, 0, "dr", "dc"), "ff": (0, 0, 0, 0)}
+
+
+@query(f"""WITH p AS ({_STEPS}), d AS (SELECT * FROM p, (VALUES (1, 0), (0, 1)) t(dr, dc)) SELECT dr, dc, count(*) AS cases,
+    {", ".join(f"count(*) FILTER (WHERE sr = {a} AND sc = {b} AND h + er - sr >= 0 AND er = {c} AND ec = {e}) AS {k}" for k, (a, b, c, e) in _SAME.items())} FROM d GROUP BY dr, dc""")
 def pattern_predicates(spark, sf_dir):
-    """Predicates on neighbouring edges: an edge moved one down, seen from its neighbour above."""
-    rows = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey % 11 AS int) AS r", "cast(o_custkey % 5 AS int) AS c").distinct()
-    last, prec = rect(F.col("r"), F.col("c"), F.col("r") + 2, F.col("c")), rect(F.col("r") + 1, F.col("c"), F.col("r") + 3, F.col("c"))
-    fixed_end = rect(F.col("r") + 1, F.col("c"), F.when(F.col("r") == 0, 2).otherwise(F.col("r") + 3), F.col("c"))
-    return rows.select("r", "c", patterns.is_rr(last, prec, 1, 0).alias("rr"), patterns.is_rf(last, fixed_end, 1, 0).alias("rf"), patterns.is_ff(last, prec).alias("ff"), prec.r2.alias("start_row"))
+    """Predicates on the precedents of neighbouring formulas, whose corners move by 0 to 2 rows and columns, downwards and across."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*[x.strip().replace("//", "div") for x in _STEPS.removeprefix("SELECT DISTINCT ").removesuffix(" FROM orders").split(",")]).distinct()
+    rows = rows.withColumn("d", F.explode(F.array(F.struct(F.lit(1).alias("dr"), F.lit(0).alias("dc")), F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc"))))).select("*", "d.*")
+    last, prec = rect(F.col("r"), F.col("c"), F.expr("r + h"), F.expr("c + w")), rect(F.expr("r + sr"), F.expr("c + sc"), F.expr("r + h + er"), F.expr("c + w + ec"))
+    dr, dc, whole = F.col("dr"), F.col("dc"), F.expr("h + er - sr >= 0")
+    found = {"rr": patterns.is_rr(last, prec, dr, dc), "rf": patterns.is_rf(last, prec, dr, dc), "fr": patterns.is_fr(last, prec, dr, dc), "ff": patterns.is_ff(last, prec)}
+    return rows.groupBy("dr", "dc").agg(F.count("*").alias("cases"), *[F.count_if(whole & c).alias(k) for k, c in found.items()])
 
 
 # Lookups.
@@ -282,8 +300,9 @@ def direct_dependents_uncompressed(spark, sf_dir):
 @query(f"""WITH e AS ({_E}) SELECT CAST(dep_row AS BIGINT) AS qid, r1, c1, r2, c2 FROM e WHERE dep_col = 7""")
 def direct_precedents(spark, sf_dir):
     """All formulas of column H at once, by the interval join."""
-    ask = _sheet(spark, sf_dir).cells.where("col = 7").selectExpr("cast(row AS long) AS qid", "file", "sheet", "row AS r1", "col AS c1", "row AS r2", "col AS c2")
-    return lookup.direct_precedents(ask, _graph(spark, sf_dir), small=False).select("qid", "ref.*")
+    sheet = _sheet(spark, sf_dir, again=True)
+    ask = sheet.cells.where("col = 7").selectExpr("cast(row AS long) AS qid", "file", "sheet", "row AS r1", "col AS c1", "row AS r2", "col AS c2")
+    return lookup.direct_precedents(ask, _graph(spark, sf_dir, sheet=sheet), small=False).select("qid", "ref.*")
 
 
 _TRANSITIVE = f"""WITH o AS (SELECT CAST(o_orderkey - (SELECT min(o_orderkey) FROM orders) AS INT) AS r FROM orders), q AS (SELECT * FROM (VALUES {_ROWS}) t(i)),
@@ -300,22 +319,48 @@ def dependents(spark, sf_dir):
 
 
 @query(_TRANSITIVE)
-def dependents_uncompressed(spark, sf_dir):
+def dependents_gap(spark, sf_dir):
     return _cells(lookup.dependents(_asked(spark, 0), _graph(spark, sf_dir, Options(gap=True, dollar=False))))
 
 
-@query(f"""WITH o AS (SELECT CAST(o_orderkey - (SELECT min(o_orderkey) FROM orders) AS INT) AS r FROM orders), q AS (SELECT * FROM (VALUES {_ROWS}) t(i))
-    SELECT CAST(i AS BIGINT) AS qid, r AS "row", CAST(c AS INT) AS col FROM q, o, (SELECT unnest([0, 5]) AS c) WHERE (c = 0 AND r BETWEEN 1 AND i) OR (c = 5 AND r < i)""")
+_H = edges_sql("customer", "ABCDEGH")
+
+
+@query(f"""WITH o AS (SELECT CAST(c_custkey - (SELECT min(c_custkey) FROM customer) AS INT) AS r FROM customer), q AS (SELECT * FROM (VALUES {_ROWS}) t(i))
+    SELECT CAST(i AS BIGINT) AS qid, r AS "row", CAST(c AS INT) AS col FROM q, o, (SELECT unnest([1, 2, 3, 4, 6]) AS c)
+    WHERE (c = 1 AND r = i) OR (c = 2 AND r >= i) OR (c = 3 AND r <= i) OR (c = 4 AND (r = i OR i = 0)) OR (c = 6 AND r = i AND r % 3 = 0)
+    UNION ALL SELECT DISTINCT CAST(i AS BIGINT), dep_row, 7 FROM q JOIN ({_H}) ON dep_col = 7 AND i BETWEEN r1 AND r2""")
+def dependents_uncompressed(spark, sf_dir):
+    """On raw edges, one stored edge each; without column F, whose running total takes a level a row when nothing is compressed."""
+    stored = materialize(as_stored(_sheet(spark, sf_dir, "customer", "ABCDEGH").edges_raw), "graph")
+    return _cells(lookup.dependents(lookup.queries(spark, [(r, "tables", "customer", r, 0, r, 0) for r in ASKED]), stored))
+
+
+_PRECEDENTS = f"""WITH o AS (SELECT CAST(o_orderkey - (SELECT min(o_orderkey) FROM orders) AS INT) AS r FROM orders), q AS (SELECT * FROM (VALUES {_ROWS}) t(i))
+    SELECT CAST(i AS BIGINT) AS qid, r AS "row", CAST(c AS INT) AS col FROM q, o, (SELECT unnest([0, 5]) AS c) WHERE (c = 0 AND r BETWEEN 1 AND i) OR (c = 5 AND r < i)"""
+
+
+@query(_PRECEDENTS)
 def precedents(spark, sf_dir):
     return _cells(lookup.precedents(_asked(spark, 5), _graph(spark, sf_dir)))
 
 
+@query(f"""WITH e AS ({_H}), h AS (SELECT DISTINCT dep_row, r1, r2 FROM e WHERE dep_col = 7), x AS (SELECT dep_row, unnest(range(r1, r2 + 1)) AS r FROM h)
+    SELECT CAST(dep_row AS BIGINT) AS qid, CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM x, (SELECT unnest([0, 1]) AS c)""")
+def precedents_uncompressed(spark, sf_dir):
+    """All formulas of column H, on raw edges."""
+    sheet = _sheet(spark, sf_dir, "customer", "ABCDEGH", again=True)
+    ask = sheet.cells.where("col = 7").selectExpr("cast(row AS long) AS qid", "file", "sheet", "row AS r1", "col AS c1", "row AS r2", "col AS c2")
+    return _cells(lookup.precedents(ask, materialize(as_stored(sheet.edges_raw), "graph")))
+
+
 @query(f"""WITH h AS (SELECT DISTINCT dep_row, r1, r2 FROM ({_E}) WHERE dep_col = 7), x AS (SELECT dep_row, unnest(range(r1, r2 + 1)) AS r FROM h)
     SELECT CAST(dep_row AS BIGINT) AS qid, CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM x, (SELECT unnest([0, 1]) AS c)""")
 def precedents_of_many(spark, sf_dir):
     """Direct and indirect precedents of all formulas of column H."""
-    ask = _sheet(spark, sf_dir).cells.where("col = 7").selectExpr("cast(row AS long) AS qid", "file", "sheet", "row AS r1", "col AS c1", "row AS r2", "col AS c2")
-    return _cells(lookup.precedents(ask, _graph(spark, sf_dir)))
+    sheet = _sheet(spark, sf_dir, again=True)
+    ask = sheet.cells.where("col = 7").selectExpr("cast(row AS long) AS qid", "file", "sheet", "row AS r1", "col AS c1", "row AS r2", "col AS c2")
+    return _cells(lookup.precedents(ask, _graph(spark, sf_dir, sheet=sheet)))
 
 
 # Edits.
@@ -355,8 +400,8 @@ def added_edges(spark, sf_dir):
     f AS (SELECT count(*) * 4 + count(*) - 1 + (count(*) + 2) // 3 + count(*) FILTER (WHERE o_custkey % 7 = 0) AS n FROM orders)
     SELECT CAST((SELECT n FROM f) AS BIGINT) AS "numFormulae", (SELECT count(*) FROM v) AS "numVertices", (SELECT count(*) FROM e) AS "numEdges" """)
 def workbook_statistics(spark, sf_dir):
-    found = _sheet(spark, sf_dir)
-    return stats.workbook_statistics(found.cells, found.edges_raw, compress(found.edges_raw)).select("numFormulae", "numVertices", "numEdges")
+    found = _sheet(spark, sf_dir, again=True)
+    return stats.workbook_statistics(found.cells, found.edges_raw, _graph(spark, sf_dir, sheet=found)).select("numFormulae", "numVertices", "numEdges")
 
 
 @query("""SELECT CAST(k AS INT) AS num_refs, CAST(n AS BIGINT) AS formulas FROM (SELECT 1 AS k, count(*) * 3 + (count(*) + 2) // 3 + count(*) FILTER (WHERE o_custkey % 7 = 0) AS n FROM orders
@@ -384,7 +429,7 @@ def cell_edges(spark, sf_dir):
 @query(f"""WITH e AS ({edges_sql(columns='ABEFGH')}), r AS (SELECT c1, c2, unnest(range(r1, r2 + 1)) AS p FROM e), c AS (SELECT DISTINCT p, unnest(range(c1, c2 + 1)) AS k FROM r)
     SELECT CAST(p AS INT) AS "row", CAST(k AS INT) AS col FROM c WHERE (p, k) NOT IN (SELECT (dep_row, dep_col) FROM e)""")
 def value_only_precedents(spark, sf_dir):
-    found = _sheet(spark, sf_dir, columns="ABEFGH")
+    found = _sheet(spark, sf_dir, columns="ABEFGH", again=True)
     return chains.value_only_precedents(found.edges_raw, found.cells).select("row", "col")
 
 
@@ -393,16 +438,32 @@ def longest_chain(spark, sf_dir):
     return chains.longest_of_all(chains.longest_chains(_sheet(spark, sf_dir).edges_raw)).select("row", "col", "length", "cyclic")
 
 
+@query("SELECT CAST(0 AS INT) AS \"row\", CAST(5 AS INT) AS col, CAST(count(*) - 1 AS BIGINT) AS length, FALSE AS cyclic FROM orders")
+def longest_chain_uncapped(spark, sf_dir):
+    """Ranges of any length count with all their cells."""
+    return chains.longest_of_all(chains.longest_chains(_sheet(spark, sf_dir).edges_raw, None)).select("row", "col", "length", "cyclic")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT {', '.join(EDGE)} FROM ({edges_sql("customer")})), r AS (SELECT dep_row, dep_col, c1, c2, unnest(range(r1, r2 + 1)) AS p FROM e),
+    c AS (SELECT DISTINCT dep_row, dep_col, p, unnest(range(c1, c2 + 1)) AS k FROM r) SELECT dep_col, count(*) AS edges, CAST(sum(p) AS BIGINT) AS mark FROM c GROUP BY dep_col""")
+def cell_edges_uncapped(spark, sf_dir):
+    cells = chains.cell_edges(_sheet(spark, sf_dir, "customer").edges_raw, None)
+    return cells.groupBy("dep_col").agg(F.count("*").alias("edges"), F.sum(F.col("prec_row").cast("long")).alias("mark"))
+
+
 @query(f"SELECT CAST(i AS INT) AS \"row\", CAST(5 AS INT) AS col, CAST({_N} - 1 - i AS BIGINT) AS length, FALSE AS cyclic FROM (VALUES {_ROWS}) t(i)")
 def longest_path_length(spark, sf_dir):
     starts = spark.createDataFrame([("tables", "orders", r, 5) for r in ASKED], "file string, sheet string, row int, col int")
     return chains.longest_path_length(_sheet(spark, sf_dir).edges_raw, starts).select("row", "col", "length", "cyclic")
 
 
-@query("""SELECT CAST(c AS INT) AS col, CASE c WHEN 0 THEN 0 WHEN 5 THEN n - 1 WHEN 7 THEN 2 ELSE 1 END AS longest FROM (SELECT count(*) AS n FROM orders), (SELECT unnest(range(8)) AS c)""")
+@query("""WITH o AS (SELECT o_orderkey - (SELECT min(o_orderkey) FROM orders) AS r, o_custkey AS m FROM orders),
+    x AS (SELECT r, c, CASE c WHEN 0 THEN 0 WHEN 5 THEN r WHEN 7 THEN 2 ELSE 1 END AS n FROM o, (SELECT unnest(range(8)) AS c) WHERE (c != 6 OR r % 3 = 0) AND (c != 7 OR m % 7 = 0)),
+    k AS (SELECT *, row_number() OVER (ORDER BY n, r, c) - 1 AS k FROM x)
+    SELECT CAST(c AS INT) AS col, CAST(max(n) AS BIGINT) AS longest, CAST(sum(k) AS BIGINT) AS ranks FROM k GROUP BY c""")
 def topological_order(spark, sf_dir):
     order = chains.topological_order(_sheet(spark, sf_dir).edges_raw)
-    return order.groupBy("col").agg(F.max("length").alias("longest"))
+    return order.groupBy("col").agg(F.max("length").alias("longest"), F.sum("rank").alias("ranks"))
 
 
 _SUPPLIER = edges_sql("supplier")
@@ -416,4 +477,14 @@ def most_dependents(spark, sf_dir):
     return chains.most_dependents(_sheet(spark, sf_dir, "supplier").edges_raw, None).select("row", "col", "dependents")
 
 
+@query(f"""WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT CAST(o_orderkey - (SELECT min(o_orderkey) FROM orders) AS INT) AS i FROM orders), e AS ({_E}),
+    h AS (SELECT i, count(DISTINCT dep_row) AS k FROM o JOIN e ON dep_col = 7 AND i BETWEEN r1 AND r2 GROUP BY i),
+    x AS (SELECT o.i, 0 AS c, 1 + (n - o.i) + (o.i + 1) + CASE WHEN o.i = 0 THEN n ELSE 1 END + CASE WHEN o.i > 0 THEN n - o.i ELSE 0 END + CASE WHEN o.i % 3 = 0 THEN 1 ELSE 0 END + coalesce(k, 0) AS k
+          FROM n, o LEFT JOIN h ON h.i = o.i UNION ALL SELECT 0, 5, n - 1 FROM n)
+    SELECT CAST(i AS INT) AS "row", CAST(c AS INT) AS col, CAST(k AS BIGINT) AS dependents FROM x ORDER BY k DESC, i, c LIMIT 1""")
+def most_dependents_of_orders(spark, sf_dir):
+    """Among all value cells of the large sheet."""
+    return chains.most_dependents(_sheet(spark, sf_dir, again=True).edges_raw, None).select("row", "col", "dependents")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "SHEETS"]

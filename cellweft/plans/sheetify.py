@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.runtime import table
+from cellweft.runtime import spread, table
 
 #: Tables with keys 0 to n - 1: the key, the value, and the mark.
-SHEETS = {"orders": ("o_orderkey", "o_totalprice", "o_custkey"), "supplier": ("s_suppkey", "s_acctbal", "s_nationkey")}
+SHEETS = {"orders": ("o_orderkey", "o_totalprice", "o_custkey"), "supplier": ("s_suppkey", "s_acctbal", "s_nationkey"), "customer": ("c_custkey", "c_acctbal", "c_nationkey")}
 
 
 def sheet_texts(spark: SparkSession, sf_dir: str, name: str = "orders", columns: str = "ABCDEFGH") -> DataFrame:
@@ -22,6 +22,7 @@ def sheet_texts(spark: SparkSession, sf_dir: str, name: str = "orders", columns:
     n = rows.count()
     low = rows.agg(F.min(key)).first()[0] or 0
     rows = rows.select((F.col(key) - low + 1).cast("int").alias("r"), F.col(value).cast("string").alias("v"), F.col(mark).cast("long").alias("m"))
+    rows = spread(rows)
     x = F.col("m") * 31 % n + 1
     text = {
         "A": F.col("v"),

@@ -118,3 +118,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if its scan has fewer splits than there are cores, for work that is dear for each row.
+
+    Only a table of a few splits is shuffled; the plan of a large one is left alone. The splits are known without a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def lanes(spark: SparkSession) -> int:
+    """Partitions for a shuffle by few, heavy keys: as set for shuffles, but not fewer than cores, and not coalesced by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 GRID = "file string, sheet string, row int, col int, text string"
 
 
-def grid_cells(spark: SparkSession, sheets: dict[str, list[list[str]]], file: str = "TempWorkbook") -> DataFrame:
+def grid_cells(spark: SparkSession, sheets: dict[str, list[list[str]]], file: str = "grid") -> DataFrame:
     """Cell texts of a map from sheet names to rows of texts: ``=`` starts a formula, an empty text is a blank cell.
 
     The first row's width holds for all rows, as in a rectangular grid; what is missing is blank.

@@ -16,7 +16,7 @@ from cellweft.functions.formula import column_index, shift_formula
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_AT = re.compile(r"([A-Z]+)([0-9]+)")
+_AT = re.compile(r"([A-Za-z]+)([0-9]+)")
 
 # Codes of error cells.
 ERROR_CODES = {"#NULL!": "0", "#DIV/0!": "7", "#VALUE!": "15", "#REF!": "23", "#NAME?": "29", "#NUM!": "36", "#N/A": "42"}
@@ -76,7 +76,9 @@ def read_xlsx(data: bytes) -> Iterator[tuple[str, int, int, str]]:
                 row = int(node.get("r")) - 1 if node.get("r") else row + 1
                 col = -1
                 for c in node.findall(f"{_NS}c"):
-                    col = column_index(_AT.fullmatch(c.get("r"))[1]) if c.get("r") else col + 1
+                    if c.get("r") and not (name := _AT.fullmatch(c.get("r"))):
+                        raise WorkbookError(f"no cell name: {c.get('r')}")
+                    col = column_index(name[1]) if c.get("r") else col + 1
                     text = _cell(c, strings, masters, row, col)
                     if text is not None:
                         yield sheet.get("name"), row, col, text
@@ -119,8 +121,8 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     rows = [(file, *cell, None) for cell in read_xlsx(data.as_py())]
-                except (WorkbookError, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
-                    rows = [(file, None, None, None, None, str(e))]
+                except Exception as e:  # whatever is wrong with one file must not end the job
+                    rows = [(file, None, None, None, None, f"{type(e).__name__}: {e}")]
                 columns = list(zip(*rows)) or [()] * 6
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "sheet", "row", "col", "text", "error"])

@@ -7,7 +7,7 @@ import pytest
 from cellweft.operators import chains, edit, lookup
 from cellweft.operators.compress import Options, compress, expand
 from cellweft.operators.extract import extract, referenced_blanks
-from cellweft.plans.analyzer import SheetAnalyzer
+from cellweft.plans.analyzer import WorkbookAnalyzer
 from cellweft.sources.grid import grid_cells
 from cellweft.sources.workbook import read_workbooks, write_xlsx
 
@@ -42,15 +42,15 @@ def test_one_run_is_one_edge(spark, name, pattern, prec, dep):
 
 def test_gap_runs_are_looked_up_exactly(spark):
     stored = compress(edges(spark, RUN["gap"]), Options(gap=True))
-    q = lookup.queries(spark, [(r, "TempWorkbook", "s", r, 0, r, 0) for r in range(5)])
+    q = lookup.queries(spark, [(r, "grid", "s", r, 0, r, 0) for r in range(5)])
     assert rows(lookup.cells_of(lookup.dependents(q, stored)), "qid", "row", "col") == [(0, 0, 1), (2, 2, 1), (4, 4, 1)]
-    cut = edit.clear_cells(stored, spark.createDataFrame([("TempWorkbook", "s", 2, 1)], "file string, sheet string, row int, col int"))
+    cut = edit.clear_cells(stored, spark.createDataFrame([("grid", "s", 2, 1)], "file string, sheet string, row int, col int"))
     assert rows(expand(cut), "dep_row") == [(0,), (4,)]
 
 
 def test_contained_edges_are_not_lost(spark):
     grid = [["1", "", "=A1"], ["2", "", "=A2"], ["3", "", "=A1+A3"]]
-    q = lookup.queries(spark, [(0, "TempWorkbook", "s", 0, 0, 0, 0)])
+    q = lookup.queries(spark, [(0, "grid", "s", 0, 0, 0, 0)])
     assert rows(lookup.cells_of(lookup.dependents(q, compress(edges(spark, grid)))), "row", "col") == [(0, 2), (2, 2)]
 
 
@@ -62,7 +62,7 @@ def test_dollar_decides_ties_and_types_split(spark):
 
 def test_delete_splits_a_run(spark):
     stored = compress(edges(spark, RUN["fr"]))
-    cut = edit.clear_cells(stored, spark.createDataFrame([("TempWorkbook", "s", 2, 1)], "file string, sheet string, row int, col int"))
+    cut = edit.clear_cells(stored, spark.createDataFrame([("grid", "s", 2, 1)], "file string, sheet string, row int, col int"))
     assert rows(cut, "p_r1", "p_r2", "d_r1", "d_r2", "pattern") == [(0, 1, 0, 1, "FR"), (0, 4, 3, 4, "FR")]
 
 
@@ -93,7 +93,7 @@ def test_random_sheets(spark, seed):
                     stack.append(y)
         return seen
 
-    q = lookup.queries(spark, [(i, "TempWorkbook", "s", i % 6, i // 6, i % 6, i // 6) for i in range(12)])
+    q = lookup.queries(spark, [(i, "grid", "s", i % 6, i // 6, i % 6, i // 6) for i in range(12)])
     for stored in (compress(raw, Options(gap=True)),):
         for find, near in ((lookup.dependents, below), (lookup.precedents, above)):
             assert rows(lookup.cells_of(find(q, stored)), "qid", "row", "col") == sorted((i, *c) for i in range(12) for c in closure(near, (i % 6, i // 6)))
@@ -127,7 +127,7 @@ def test_analyzer_over_workbook_files(spark, tmp_path):
     (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
     read = read_workbooks(spark, str(tmp_path))
     assert read.where("error is not null").count() == 1
-    a = SheetAnalyzer.from_files(spark, str(tmp_path))
+    a = WorkbookAnalyzer.from_files(spark, str(tmp_path))
     assert (a.num_sheets(), a.num_formulas(), a.num_edges(), a.num_comp_edges(), a.file_errors.count()) == (2, 9, 9, 2, 1)
     assert rows(a.dependents("s", (1, 0, 1, 0)), "r1", "c1", "r2", "c2") == [(1, 1, 4, 1)]
     assert a.dependents("nosuch", (0, 0, 0, 0)).count() == 0 and a.dependents("s", (-1, 0, 0, 0)).count() == 0
@@ -135,11 +135,77 @@ def test_analyzer_over_workbook_files(spark, tmp_path):
     assert a.precedents_subgraph("t", (4, 0, 4, 0), direct=True).count() == 1
 
 
+@pytest.mark.parametrize("damage", ["crc", "deflate", "cell", "kind"])
+def test_damaged_workbooks_do_not_fail_others(spark, tmp_path, damage):
+    import zipfile
+
+    write_xlsx(str(tmp_path / "good.xlsx"), {"s": [["1", "=A1"]]})
+    write_xlsx(str(tmp_path / "bad.xlsx"), {"s": [["1", "=A1", "x" * 500]]})
+    data = bytearray((tmp_path / "bad.xlsx").read_bytes())
+    if damage in ("crc", "deflate"):
+        with zipfile.ZipFile(tmp_path / "bad.xlsx") as z:
+            info = z.getinfo("xl/worksheets/sheet1.xml")
+        body = info.header_offset + 30 + len(info.filename)
+        if damage == "deflate":
+            data[body : body + 4] = b"\xff" * 4
+        else:
+            at = data.index(b"PK\x01\x02", data.rindex(b"xl/worksheets/sheet1.xml") - 60) + 16
+            data[at : at + 4] = b"\0" * 4
+        (tmp_path / "bad.xlsx").write_bytes(data)
+    else:
+        source = zipfile.ZipFile(tmp_path / "bad.xlsx")
+        parts = {n: source.read(n) for n in source.namelist()}
+        parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace(*((b'r="A1"', b'r="?1"') if damage == "cell" else (b"<v>1</v>", b"<v>one</v>")))
+        with zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as z:
+            for n, part in parts.items():
+                z.writestr(n, part)
+    found = read_workbooks(spark, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in found if r["error"] is None) == ["1.0", "=A1"]
+    assert [r["file"].rpartition("/")[2] for r in found if r["error"] is not None] == ["bad.xlsx"]
+
+
+def test_number_texts():
+    from cellweft.sources.workbook import number_text
+
+    given = {"1": "1.0", "0": "0.0", "-2.50": "-2.5", "1234567": "1234567.0", "10000000": "1.0E7", "0.001": "0.001", "0.0005": "5.0E-4", "1e300": "1.0E300", "123456789.5": "1.234567895E8"}
+    assert {k: number_text(k) for k in given} == given
+
+
+def test_added_edges_keep_the_flags_of_patterns(spark):
+    first, more = edges(spark, RUN["ff"]), edges(spark, [["1", "", "=A1"]])
+    again = edit.add_edges(compress(first), more)
+    assert rows(again, "pattern", "d_r1", "d_r2", "d_c1") == [("FF", 0, 4, 1), ("NoComp", 0, 0, 2)]
+
+
+def _brute_chains(raw):
+    """(length, first cell) of the longest path to each cell, and the cells on or behind a cycle."""
+    near = {}
+    for dr, dc, r1, c1, r2, c2 in raw:
+        near.setdefault((dr, dc), set()).update((i, j) for i in range(r1, r2 + 1) for j in range(c1, c2 + 1))
+    known = {x: (0, x) for cells in near.values() for x in cells if x not in near}
+    while True:
+        ready = {x: max(((known[y][0] + 1, known[y][1]) for y in ys), key=lambda b: (b[0], (-b[1][0], -b[1][1]))) for x, ys in near.items() if x not in known and all(y in known for y in ys)}
+        if not ready:
+            return known, set(near) - set(known)
+        known |= ready
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_chains_against_plain_python(spark, seed):
+    raw = edges(spark, _random_grid(random.Random(seed)))
+    known, cyclic = _brute_chains({tuple(r) for r in raw.select(*EDGE).collect()})
+    order = chains.topological_order(raw, None).collect()
+    assert {(r["row"], r["col"]): r["length"] for r in order if not r["cyclic"]} == {x: n for x, (n, _) in known.items()} and {(r["row"], r["col"]) for r in order if r["cyclic"]} == cyclic
+    assert [x for _, x in sorted((r["rank"], (r["row"], r["col"])) for r in order if not r["cyclic"])] == sorted(known, key=lambda x: (known[x][0], x))
+    best = max(n for n, _ in known.values())
+    assert rows(chains.longest_chains(raw, None), "row", "col", "length", "cyclic") == [(*min(s for n, s in known.values() if n == best), best, bool(cyclic))]
+
+
 def test_streamed_edits(spark, tmp_path):
     from cellweft.streaming.edits import EditedGraph
 
     graph = EditedGraph(compress(edges(spark, RUN["rr"])), str(tmp_path / "graphs"))
-    texts = spark.createDataFrame([("TempWorkbook", "s", 1, 1, "=A5"), ("TempWorkbook", "s", 2, 1, "7")], "file string, sheet string, row int, col int, text string")
+    texts = spark.createDataFrame([("grid", "s", 1, 1, "=A5"), ("grid", "s", 2, 1, "7")], "file string, sheet string, row int, col int, text string")
     graph.apply(texts, 0)
     graph.apply(texts, 0)
     assert rows(expand(graph.graph()), "dep_row", "r1") == [(0, 0), (1, 4), (3, 3), (4, 4)]
