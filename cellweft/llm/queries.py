@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweft.llm import bpe, bwt_dedup, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, token_rollup, toxicity
 from cellweft.llm.common import word_count
-from cellweft.runtime import materialize, shared_path, table
+from cellweft.runtime import materialize, shared_path, spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -20,7 +20,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     machine = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     return toxicity.score_toxicity(docs, machine).select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
@@ -53,15 +53,15 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), kept_bytes=False)
+    return bwt_dedup.remove_repeats(spread(table(spark, sf_dir, "documents")), kept_bytes=False)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=False)
+    return bpe.encode_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ids=False)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,16 +69,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    found = secret_scan.scan_secrets(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_components(spread(table(spark, sf_dir, "documents")), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.classify_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_token_rollup, op4_bwt_dedup, op5_quality_rules, op6_bpe, op7_exact_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_classifier)}

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from cellweft.llm import bpe, bwt_dedup, exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules, secret_scan, token_rollup, toxicity
 
@@ -137,6 +138,42 @@ def test_quality_rules_counts(spark, docs, df):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(repeated) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_thresholds_against_exact_percentiles(spark):
+    """Limits and verdicts recomputed with exact percentiles agree within the sketches' error."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        text = [rng.choice(["WORD", "word", "Word", "text", "x"]) + str(rng.randint(0, 10**6)) + ("*" * rng.randint(1, 9) if rng.random() < (0.02, 0.3)[i % 9 == 0] else "") for _ in range(rng.randint(45, 90))]
+        rows.append((None if i % 50 == 49 else i, " ".join(text), ("en", "de", None)[i % 3 if i % 7 else 2], ("hot", "hot", "few")[i % 3] if i % 20 else None, 0, 0, 0, "", ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = quality_rules.quality_rules(df)
+    got = sorted(map(tuple, out.select("doc_id", "n_words", "word_chars", "kept", "base_failed").collect()), key=repr)
+    assert got == sorted(map(tuple, quality_rules.quality_rules(df.repartition(7)).select("doc_id", "n_words", "word_chars", "kept", "base_failed").collect()), key=repr)  # reruns agree
+    shares = {}
+    for i, text, lang, source, *_ in rows:
+        w = words(text)
+        chars = sum(map(len, w))
+        shares.setdefault((lang, source), []).append((len(w) < 50, {"symbol_share": len(re.findall(r"[#*$%&|<>]", text)) / chars, "upper_share": len(re.findall("[A-Z]", text)) / chars}))
+
+    def limit(values, share):
+        q, fence, _ = quality_rules.SHARES[share]
+        values = sorted(values)
+        at = lambda p: values[max(0, -(-int(round(p * 1000)) * len(values) // 1000) - 1)]
+        return at(q) + fence * (at(q) - at(0.5))
+
+    frame_ = spark.createDataFrame([(k[0], k[1], *(v.get(s, 0.0) for s in quality_rules.SHARES)) for k, g in shares.items() for failed, v in g if not failed], "lang string, source string, " + ", ".join(f"{s} double" for s in quality_rules.SHARES))
+    found = {(r["of_lang"], r["of_source"]): r for r in quality_rules.thresholds(frame_, 100).collect()}
+    for share in ("symbol_share", "upper_share"):
+        passed = {k: [v[share] for failed, v in g if not failed] for k, g in shares.items()}
+        of_all = limit([x for g in passed.values() for x in g], share)
+        for (lang, source), values in passed.items():
+            near = [x for k, g in passed.items() if k[0] == lang for x in g]
+            above = (len(near) * limit(near, share) + 100 * of_all) / (len(near) + 100)
+            wanted = (len(values) * limit(values, share) + 100 * above) / (len(values) + 100)
+            assert found[lang, source][f"max_{share}"] == pytest.approx(max(wanted, quality_rules.SHARES[share][2]), rel=0.04), (share, lang, source)
+    assert {r[3] for r in got} == {True, False}
+
+
 def test_secret_scan(spark):
     texts = [
         "password = \"hunter22\" and token:abc12",
@@ -237,6 +274,39 @@ def test_token_rollup_is_idempotent_and_signed(spark, tmp_path):
     assert rollup.apply("empty", make([])) and totals() == sorted([("b", "en", "v1", 1, 7), (None, None, "v1", 1, 0)], key=repr)
 
 
+def test_token_rollup_reads_touched_buckets_and_stands_two_writers(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup", buckets=16, compact=3)
+    make = lambda rows: spark.createDataFrame(rows, token_rollup.CHANGES + ", kept string").drop("kept").withColumn("bucket", F.lit("clash"))
+    totals = lambda: sorted(map(tuple, rollup.totals().collect()), key=repr)
+    rollup.apply("many", make([("insert", i, "a", "en", "v1", i, 0, "") for i in range(200)] + [("insert", None, "a", "en", "v1", 7, 0, "")]))
+    touched = make([("revise", 5, "a", "en", "v1", 50, 0, "")]).select(rollup._bucket().alias("b")).first()["b"]
+    assert 0 < rollup.ledger([touched]).count() < 40 and rollup.ledger().count() == 201
+    seen = []
+    whole = rollup.ledger
+    rollup.ledger = lambda buckets=None, state=None: seen.append(buckets) or whole(buckets, state)
+    assert rollup.apply("one row", make([("revise", 5, "a", "en", "v1", 50, 0, ""), ("revise", 5, "a", "en", "v1", 9, None, "")]))
+    assert seen == [[touched]]
+    assert totals() == [("a", "en", "v1", 201, sum(range(200)) + 45 + 7)]
+    # A second writer that began at the same version loses, overwrites nothing, and may try again.
+    other = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup", buckets=16, compact=100)
+    stale = other.state()
+    assert rollup.apply("three", make([("delete", 7, "a", "en", "v1", 0, 0, "")]))
+    fresh, other.state = other.state, lambda: stale
+    with pytest.raises(RuntimeError):
+        other.apply("late", make([("delete", 9, "a", "en", "v1", 0, 0, "")]))
+    other.state = fresh
+    assert totals() == [("a", "en", "v1", 200, sum(range(200)) + 45)]
+    assert other.apply("late", make([("delete", 9, "a", "en", "v1", 0, 0, "")])) and not other.apply("many", make([]))
+    assert totals() == [("a", "en", "v1", 199, sum(range(200)) + 36)]
+    assert len(rollup.state().ledger) == 2 and len(rollup.state().deltas) == 2  # compacted after the third commit
+
+
+def test_token_rollup_ties_in_seq(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/rollup")
+    rollup.apply("x", spark.createDataFrame([("insert", 1, "a", "en", "v", 3, 0), ("insert", 1, "a", "en", "v", 8, 0), ("insert", 2, "a", "en", "v", 3, 0), ("delete", 2, "a", "en", "v", 3, 0)], token_rollup.CHANGES))
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v", 1, 8)]
+
+
 def test_toxicity_learns_gapped_insults(spark):
     rng = random.Random(5)
     plain = ["thing", "other", "under", "water", "stone", "paper", "green", "house", "river", "cloud"]
