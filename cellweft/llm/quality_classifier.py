@@ -71,9 +71,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column | None = N
 
     ``host`` and ``path`` are columns of ``docs`` (by default its source, and its language within the source, for corpora
     without addresses). A logistic regression on ``features``, fitted by the driver on at most ``fit_rows`` labelled documents, gives each document's evidence.
-    Sums of these scores over all documents, per host and per path within the host, give posterior rates: a path's rate is shrunk towards its host's,
+    Sums over all documents of their labels, or of these scores where there is none, per host and per path within the host, give posterior rates: a path's rate is shrunk towards its host's,
     and a host's towards that of all, by prior strengths that the method of moments takes from the groups' own spread. A document's own
-    score is taken out of its groups' sums. Its score adds, in log-odds, what its path's rate has above that of all.
+    part is taken out of its groups' sums, so its label does not reach its own score by them. Its score adds, in log-odds, what its path's rate has above that of all.
 
     Groups are summed in partial aggregates before the shuffle, so a hot host costs no more than others; texts are read once and do not
     cross a shuffle. Joins with the groups can be split.
@@ -99,8 +99,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column | None = N
     else:
         rate = (y.sum() + 1) / (len(y) + 2)
         logit = F.lit(float(np.log(rate / (1 - rate))))
-    rows = materialize(rows.select("id", "host", "path", (1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-12.0)), F.lit(12.0))))).alias("doc_score")), "quality-scores")
-    paths = materialize(rows.groupBy("host", "path").agg(F.sum("doc_score").alias("s"), F.count("*").alias("n")), "quality-paths")
+    rows = rows.select("id", "host", "path", (1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-12.0)), F.lit(12.0))))).alias("doc_score"))
+    rows = rows.join(known, rows["id"] == known["of"], "left").withColumn("seen", F.coalesce("label", "doc_score")).drop("of", "label")
+    rows = materialize(rows, "quality-scores")
+    paths = materialize(rows.groupBy("host", "path").agg(F.sum("seen").alias("s"), F.count("*").alias("n")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     of_all = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     prior = ((of_all["s"] or 0.0) + 1) / ((of_all["n"] or 0) + 2)
@@ -109,9 +111,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, host: Column | None = N
     groups = groups.select(F.col("p.host").alias("h_"), F.col("p.path").alias("p_"), F.col("p.s").alias("ps"), F.col("p.n").alias("pn"), F.col("h.s").alias("hs"), F.col("h.n").alias("hn"))
     groups = materialize(groups, "quality-groups")
     out = rows.join(groups, rows["host"].eqNullSafe(groups["h_"]) & rows["path"].eqNullSafe(groups["p_"]), "left")
-    host_rate = (F.col("hs") - F.col("doc_score") + by_host * prior) / (F.col("hn") - 1 + by_host)
+    host_rate = (F.col("hs") - F.col("seen") + by_host * prior) / (F.col("hn") - 1 + by_host)
     out = out.withColumn("host_rate", host_rate)
-    out = out.withColumn("path_rate", (F.col("ps") - F.col("doc_score") + by_path * F.col("host_rate")) / (F.col("pn") - 1 + by_path))
+    out = out.withColumn("path_rate", (F.col("ps") - F.col("seen") + by_path * F.col("host_rate")) / (F.col("pn") - 1 + by_path))
     total = _logit(F.col("doc_score")) + _logit(F.col("path_rate")) - F.lit(float(np.log(prior / (1 - prior))))
     out = out.withColumn("score", 1 / (1 + F.exp(-total)))
     return out.select(F.col("id").alias(id_col), "doc_score", "host_rate", "path_rate", "score", (F.col("score") >= 0.5).alias("kept"))

@@ -108,8 +108,9 @@ def units_of(text: str | None) -> list[str]:
     return text.split() + [m[0].replace(" ", "").replace("\t", "") for m in _SPACED.finditer(text)]
 
 
-def sentences_of(text: str | None) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?])\s+|\n", text or "") if s.strip()]
+def sentence_of(text: str, unit: str) -> str | None:
+    """The first sentence of a text that has a unit."""
+    return next((s for s in re.split(r"(?<=[.!?])\s+|\n", text) if unit in units_of(s)), None)
 
 
 @dataclass
@@ -125,11 +126,6 @@ class Machine:
     def probability(self, f: np.ndarray | float) -> np.ndarray | float:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(f, -3, 3) + self.offset, -30, 30)))
 
-    def sentence(self, text: str) -> float:
-        """The score of a sentence: that of its most toxic unit."""
-        units = units_of(text)
-        return float(self.probability(unit_scores(units, self.weights, self.bias).max() if units else -3.0))
-
 
 class _Kernel:
     """Nyström features over a list of landmark units."""
@@ -209,9 +205,10 @@ def disguised(unit: str, rng: np.random.Generator) -> list[str]:
 def fit(bags: list[list[str]], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 3) -> Machine:
     """Fit on documents, given as their units, and their labels.
 
-    A document's label says that some sentence of it, and some unit of that, is toxic, or that none is. Rounds alternate: take as
+    Labels are those of documents, as sentences have none. A document's label says that some sentence of it, and some unit of that, is toxic, or that none is. Rounds alternate: take as
     positive each toxic document's witnesses, the units with the largest f (at first, those that toxic documents have most in excess); as negative
-    the units of clean documents with the largest f and a random draw; choose landmarks among both; fit the machine.
+    the units of clean documents with the largest f (4,000) and a random draw (4,000); choose landmarks among both; fit the machine. Fitting sees the first WIDTH - 2 characters of a long
+    unit; scoring sees all of it.
     """
     rng = np.random.default_rng(seed)
     bags = [list(dict.fromkeys(b)) for b in bags]
@@ -348,9 +345,9 @@ def without_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") ->
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, score (0 to 1), predicted (1 if score >= 0.5, else 0), unit (the most toxic one).
+    """One row for each row of ``docs``: id, score (0 to 1), predicted (1 if score >= 0.5, else 0), unit (the most toxic one), sentence (where predicted is 1, the first that has this unit).
 
-    Units of whole texts are scored; a text's score is that of its most toxic sentence, and a sentence's that of its most toxic unit. The machine (a
+    Units of whole texts are scored; a text's score is that of its most toxic sentence, and a sentence's that of its most toxic unit, so a text's is the largest of its units'. The machine (a
     weight for each of CLASSES**3 subsequences) is broadcast. Rows are independent: no shuffle; a worker scores each distinct unit
     once, in vectors.
 
@@ -364,10 +361,12 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
         for batch in batches:
             tops, words = _top_units(m, token, batch.column(1))
             p = m.probability(np.array(tops))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32)), pa.array(words, pa.string())], [id_col, "score", "predicted", "unit"])
+            toxic = p >= 0.5
+            where = [sentence_of(t.as_py(), w) if y and w else None for t, w, y in zip(batch.column(1), words, toxic)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(toxic.astype(np.int32)), pa.array(words, pa.string()), pa.array(where, pa.string())], [id_col, "score", "predicted", "unit", "sentence"])
 
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(tidy(score), f"`{id_col}` long, score double, predicted int, unit string")
+    return rows.mapInArrow(tidy(score), f"`{id_col}` long, score double, predicted int, unit string, sentence string")
 
 
 def held_out(ident: Column) -> Column:

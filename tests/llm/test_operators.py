@@ -190,6 +190,37 @@ def test_secret_scan(spark):
     assert got[4]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_secret_base_spans_against_brute_force(spark):
+    """The base patterns as the contract has them, matched from every position in turn, on random texts, a very long one, repeated rows and null ids."""
+    rng = random.Random(8)
+    bits = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", "'", '"', " ", "=", ":", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "é", "\n", "x", "Z9", "-_", "hunter2"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += ["".join(rng.choice(bits) for _ in range(40_000)), None, "", texts[0]]
+    patterns = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII, lambda m: len(m[2]) >= 6), (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20), (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24)]
+
+    def brute(text):
+        out = []
+        for kind, (pattern, flags, ok) in enumerate(patterns):
+            at, compiled = 0, re.compile(pattern, flags)
+            while at < len(text):
+                if m := compiled.match(text, at):
+                    if ok(m):
+                        out.append((m.start(), kind, m.end()))
+                    at = m.end()
+                else:
+                    at += 1
+        return sorted(out)
+
+    rows = [(None if k % 40 == 7 else k, t) for k, t in enumerate(texts)] + [(3, texts[3])] * 2
+    wanted = []
+    for i, t in rows:
+        spans = brute(t or "")
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+        wanted.append((i, *(sum(k == kind for _, k, _ in spans) for kind in range(3)), hashlib.sha256(text.encode()).hexdigest()))
+    got = secret_scan.scan_secrets(frame(spark, rows), RANKS, PATTERN).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(wanted, key=repr)
+
+
 def test_random_runs_of_letters_one_digit_and_short_parts():
     coder = bpe.load(bpe.read_ranks(RANKS), PATTERN)
     for key in ("zKqvQbmTyxLwFRbNapYcGHdF", "QZXWVKJYHGFBPMTD", "xkqzjvwpmtbhrgydfc", "zKqvQbmTyx7wFRbNapYc", "CCFZI-EQN2D-VVO3G-NK6GT", "JPQTU-WFBGK-QVZKX"):
@@ -324,6 +355,11 @@ def test_toxicity_learns_gapped_insults(spark):
     right = sum(got[i]["predicted"] == y for i, y in labels)
     assert right >= 295
     assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003)] == [1, 0, 0, 1]
+    assert got[1000]["sentence"] == "paper i.d.i.o.t water" and got[1001]["sentence"] is None
+    odd = [(1, rows[0][1]), (1, rows[0][1]), (None, "you idiot"), (2, "water " * 200_000 + "moron"), (3, "x" * 100_000)]
+    kept = toxicity.without_toxic(frame(spark, odd), machine).collect()
+    assert sorted((r["doc_id"], len(r["text"])) for r in kept if r["doc_id"]) == sorted((i, len(t)) for i, t in odd if i and not got[0]["predicted"] * (i == 1) and i != 2) and None not in [r["doc_id"] for r in kept]
+    assert kept[0]["kept"] == "clash"
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
@@ -340,6 +376,24 @@ def test_quality_classifier_shrinks_sites(spark):
     assert none.count() == 400
 
 
+def test_a_sites_posterior_turns_a_verdict(spark):
+    """One text gets two verdicts: on a site whose documents are good, and on one whose documents are bad."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        site = i % 2  # sources s1 and s2 of ``frame``
+        bad = rng.random() < (0.15, 0.85)[site]
+        share = rng.random() * 0.7 + (0.3 if bad else 0.0)
+        rows.append((4 * (i // 2) + site, " ".join(("WORD!!" if rng.random() < share else "word") + str(rng.randint(0, 99)) for _ in range(60))))
+        labels.append((rows[-1][0], int(not bad)))
+    between = " ".join(("WORD!!" if k % 2 else "word") + str(k) for k in range(60))
+    twins = [(10_000, between), (10_001, between), (None, between), (10_000, between)]
+    out = quality_classifier.classify_quality(frame(spark, rows + twins), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    good, bad = [r for r in out if r["doc_id"] == 10_000], [r for r in out if r["doc_id"] == 10_001][0]
+    assert len(good) == 2 and good[0] == good[1] and good[0]["doc_score"] == bad["doc_score"] and good[0]["path_rate"] > bad["path_rate"]
+    assert good[0]["score"] > good[0]["doc_score"] > bad["score"] and (good[0]["kept"], bad["kept"]) == (True, False)
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
