@@ -201,6 +201,25 @@ def test_chains_against_plain_python(spark, seed):
     assert rows(chains.longest_chains(raw, None), "row", "col", "length", "cyclic") == [(*min(s for n, s in known.values() if n == best), best, bool(cyclic))]
 
 
+def test_runs_over_folders(spark, tmp_path):
+    from cellweft.plans import runs
+
+    folder = tmp_path / "books"
+    folder.mkdir()
+    write_xlsx(str(folder / "one.xlsx"), {"a,b": RUN["fr"]})
+    write_xlsx(str(folder / "two.xlsx"), {"t": RUN["chain"]})
+    (folder / "bad.xlsx").write_bytes(b"PK")
+    write_xlsx(str(tmp_path / "list.xlsx"), {"m": [["File name", "x", " max dep ref"], ["one.xlsx", "", "a,b:A2"], ["two.xlsx", "", "t:A1"], ["none.xlsx", "", "t:A1"]]})
+    runs.statistics_run(spark, str(folder), str(tmp_path / "statistics"))
+    found = spark.read.option("header", True).csv(str(tmp_path / "statistics"))
+    assert found.columns[:7] == ["fileName", "numFormulae", "numVertices", "numEdges", "numCompVertices", "numCompEdges", "graphBuildTime"] and len(found.columns) == 7 + 26
+    assert rows(found, "fileName", "numFormulae", "numEdges", "numCompEdges", "FR_Comp", "FR_NoComp", "RR_NoComp") == [("one.xlsx", "5", "5", "1", "1", "5", "0"), ("two.xlsx", "4", "4", "1", "0", "0", "4")]
+    runs.lookup_run(spark, str(folder), str(tmp_path / "list.xlsx"), str(tmp_path / "lookups"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "lookups")), "fileName", "ref", "LookupSize") == [("one.xlsx", "a,b:r2c1", "1"), ("two.xlsx", "t:r1c1", "1")]
+    a = WorkbookAnalyzer.from_grid(spark, {"s": RUN["fr"]})
+    assert runs.deletion_run(a, "s", 1, 1, 3) > 0 and rows(expand(a.graph), "dep_row") == [(0,), (4,)]
+
+
 def test_streamed_edits(spark, tmp_path):
     from cellweft.streaming.edits import EditedGraph
 
