@@ -466,14 +466,4 @@ def most_dependents(spark, sf_dir):
     return chains.most_dependents(_sheet(spark, sf_dir, "supplier").edges_raw, None).select("row", "col", "dependents")
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT CAST(o_orderkey - (SELECT min(o_orderkey) FROM orders) AS INT) AS i FROM orders), e AS ({_E}),
-    h AS (SELECT i, count(DISTINCT dep_row) AS k FROM o JOIN e ON dep_col = 7 AND i BETWEEN r1 AND r2 GROUP BY i),
-    x AS (SELECT o.i, 0 AS c, 1 + (n - o.i) + (o.i + 1) + CASE WHEN o.i = 0 THEN n ELSE 1 END + CASE WHEN o.i > 0 THEN n - o.i ELSE 0 END + CASE WHEN o.i % 3 = 0 THEN 1 ELSE 0 END + coalesce(k, 0) AS k
-          FROM n, o LEFT JOIN h ON h.i = o.i UNION ALL SELECT 0, 5, n - 1 FROM n)
-    SELECT CAST(i AS INT) AS "row", CAST(c AS INT) AS col, CAST(k AS BIGINT) AS dependents FROM x ORDER BY k DESC, i, c LIMIT 1""")
-def most_dependents_of_orders(spark, sf_dir):
-    """Among all value cells of the large sheet."""
-    return chains.most_dependents(_sheet(spark, sf_dir, again=True).edges_raw, None).select("row", "col", "dependents")
-
-
 __all__ = ["ORACLE_SQL", "QUERIES", "SHEETS"]
