@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import BUCKET_BITS, ascii_lower, pick
+from cellweft.llm.common import BUCKET_BITS, ascii_lower, bitmap, bitmap_buckets, marked, pick
 from cellweft.runtime import discard, materialize
 
+#: Buckets of 4 KiB, at most, of the bitmap of groups that survive: 16 MiB, which is broadcast.
+SURVIVORS = 4096
 
-def _bit(n_bytes: Column, head: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(n_bytes, head), F.lit(buckets * BUCKET_BITS)) + 1
 
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, buckets: int = 256, digest_all: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, buckets: int = SURVIVORS, digest_all: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical after lower-casing A-Z. Of equal texts the largest id stays.
 
     1. A scan gives each row's byte length and a hash of its first ``prefix_chars`` characters.
     2. Lengths that occur once, then (length, prefix) pairs that occur once, are out.
-    3. What is left is marked in a bitmap of ``buckets`` * 4 KiB, which is broadcast: its size is fixed, however
-       many groups there are. A full bitmap costs needless hashing, never a wrong result.
+    3. What is left is marked in a bitmap of 16 bits or more for each group, ``buckets`` * 4 KiB at most, which is broadcast. Beyond
+       its bound (some 8 million groups) it fills up, which costs needless hashing, never a wrong result.
     4. A second scan hashes the whole texts of marked rows only, and groups them by the full hash.
 
     ``digest_all`` also hashes the rows that are out, for callers who want ``text_sha256`` in every row; else it
@@ -38,14 +37,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(rows.select(size.alias("n_bytes"), head.alias("head")).groupBy("n_bytes", "head").agg(F.count("*").alias("n")), "dedup-keys")
     lengths = keys.groupBy("n_bytes").agg(F.sum("n").alias("of_length")).where("of_length > 1")
     shared = keys.where("n > 1").join(lengths, "n_bytes", "left_semi")
-    bit = _bit(F.col("n_bytes"), F.col("head"), buckets)
-    marks = shared.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    hashed = rows.select("id", "text", size.alias("n_bytes"), head.alias("head"))
-    bit = _bit(F.col("n_bytes"), F.col("head"), buckets)
-    hashed = hashed.withColumns({"bucket": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)})
-    hashed = hashed.join(F.broadcast(marks), "bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hashed = hashed.withColumn("marked", F.coalesce(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1, F.lit(False)))
+    n_bits = bitmap_buckets(keys.where("n > 1").count(), buckets) * BUCKET_BITS
+    bit = F.pmod(F.xxhash64("n_bytes", "head"), F.lit(n_bits)) + 1
+    hashed = marked(rows.select("id", "text", size.alias("n_bytes"), head.alias("head")), bitmap(shared, bit), bit)
     digest = F.sha2(ascii_lower(F.col("text")), 256)
     hashed = hashed.select("id", "n_bytes", "marked", (digest if digest_all else F.when(F.col("marked"), digest)).alias("text_sha256"))
     hashed = materialize(hashed, "dedup-digests")
