@@ -250,8 +250,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(tidy(verify), "a long, b long").distinct()
 
 
-def _block_links(percent: int):
-    """Links of one block pair of a hot group, as a spanning forest; each pair is decided at its first common prefix element only."""
+def _block_links(percent: int, forest: bool):
+    """Links of one block pair of a hot group, all or as a spanning forest; each pair is decided at its first common prefix element only."""
 
     def product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -282,6 +282,11 @@ def _block_links(percent: int):
             ok = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :]) & (low[left][:, None] | low[right][None, :])
             if any(len(b) for b in before):
                 ok &= product(before, left, right) == 0
+            i, j = np.nonzero(ok)
+            if not forest:
+                a, b = ids[left[i]], ids[right[j]]
+                release()
+                return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
             root: dict[int, int] = {}
 
             def find(v: int) -> int:
@@ -289,7 +294,7 @@ def _block_links(percent: int):
                     root[v] = v = root[root[v]]
                 return v
 
-            for i, j in zip(*np.nonzero(ok)):
+            for i, j in zip(i, j):
                 a, b = int(comp[left[i]]), int(comp[right[j]])
                 if find(a) != find(b):
                     root[find(a)] = find(b)
@@ -300,6 +305,48 @@ def _block_links(percent: int):
     return links
 
 
+def _signed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """The texts (id, text), and the table of their signatures."""
+    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    return rows, materialize(signatures(rows, width, percent, frequent_shingles(rows, width, frequent)), "jaccard-signatures")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids in pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _prefix_round(rows: DataFrame, placed: DataFrame, fine: DataFrame, width: int, percent: int, hot: int, block: int, forest: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between sets of different ``comp`` in ``placed`` (id, comp, n, prefix, counts), and the tables that may go once they are written.
+
+    With ``forest`` a block of a hot group gives only as many links as its components need; without, it gives all. ``fine`` is discarded.
+    """
+    spread = placed.select("comp", F.explode("prefix").alias("key"))
+    open_ = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least != most").select("key", "size")
+    open_ = materialize(open_, "jaccard-open")
+    entries = materialize(open_entries(placed, open_.select(F.col("key").alias("k"))).join(open_.select("key"), "key", "left_semi"), "jaccard-entries")
+    entries = banded(entries, percent)
+    x, y = (entries.where(F.col("size") <= hot).alias(side) for side in "xy")
+    a, b = F.col("x.n"), F.col("y.n")
+    need = _least_overlap(a, b, percent)
+    positional = 1 + F.least(a - F.col("x.pos") - 1, b - F.col("y.pos") - 1) >= need
+    distance = F.expr("aggregate(zip_with(x.counts, y.counts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.low") | F.col("y.low")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & (distance <= a + b - 2 * need)
+    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = materialize(near_enough(pairs, fine, percent), "jaccard-pairs")
+    discard(fine)
+    group = entries.where(F.col("size") > hot).drop("counts").join(placed.select("id", "prefix"), "id")
+    group = group.withColumns({"blocks": F.ceil(F.col("size") / block).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
+    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("prefix", "pos", "size")
+    wanted = _ends(pairs).union(group.select("id").distinct())
+    sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")
+    more = verified(pairs, sets, percent)
+    blocks = group.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    blocks = blocks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    in_blocks = blocks.select("key", "band", "lo", "hi", "id", "comp", "low", "block", "before", "elements").groupBy("key", "band", "lo", "hi").applyInArrow(_block_links(percent, forest), "a long, b long")
+    return more.union(in_blocks), [placed, entries, sets]
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles (size of its set), class_id, component_id.
 
@@ -321,8 +368,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     their class, or null if no id has that set. Repeated rows with one id are one document and get the same result. Extra columns are
     ignored. An empty table gives an empty result.
     """
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    wide = materialize(signatures(rows, width, percent, frequent_shingles(rows, width, frequent)), "jaccard-signatures")
+    rows, wide = _signed(docs, width, percent, id_col, text_col, frequent)
     narrow = materialize(wide.select("id", "n", "digest"), "jaccard-sizes")
     classes = materialize(narrow.where("n > 0").groupBy("digest").agg(F.min("id").alias("class")), "jaccard-classes")
     reps = classes.where("class is not null").select(F.col("class").alias("id"))
@@ -333,8 +379,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pairs = keys.join(pivots, "key").where((F.col("id") != F.col("a")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select("a", F.col("id").alias("b")).distinct()
     fine = materialize(wide.where("n > 0").select("id", "n", "fine").dropDuplicates(["id"]), "jaccard-fine")
     pairs = materialize(near_enough(pairs, fine, percent), "jaccard-stars")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(sets_of(rows, ends(pairs), width).dropDuplicates(["id"]), "jaccard-sets")
+    sets = materialize(sets_of(rows, _ends(pairs), width).dropDuplicates(["id"]), "jaccard-sets")
     stars = materialize(verified(pairs, sets, percent), "jaccard-links")
     discard(sets)
     labels = connected_components(stars)
@@ -343,32 +388,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     placed = reps.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     placed = materialize(wide.drop("digest", "mins", "fine").join(placed, "id"), "jaccard-placed")
     discard(wide)
-    spread = placed.select("comp", F.explode("prefix").alias("key"))
-    open_ = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least != most").select("key", "size")
-    open_ = materialize(open_, "jaccard-open")
-    entries = materialize(open_entries(placed, open_.select(F.col("key").alias("k"))).join(open_.select("key"), "key", "left_semi"), "jaccard-entries")
-    entries = banded(entries, percent)
-    x, y = (entries.where(F.col("size") <= hot).alias(side) for side in "xy")
-    a, b = F.col("x.n"), F.col("y.n")
-    need = _least_overlap(a, b, percent)
-    positional = 1 + F.least(a - F.col("x.pos") - 1, b - F.col("y.pos") - 1) >= need
-    distance = F.expr("aggregate(zip_with(x.counts, y.counts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.low") | F.col("y.low")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & (distance <= a + b - 2 * need)
-    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = materialize(near_enough(pairs, fine, percent), "jaccard-pairs")
-    discard(fine)
-    group = entries.where(F.col("size") > hot).drop("counts").join(placed.select("id", "prefix"), "id")
-    group = group.withColumns({"blocks": F.ceil(F.col("size") / block).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
-    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("prefix", "pos", "size")
-    wanted = ends(pairs).union(group.select("id").distinct())
-    sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")
-    more = verified(pairs, sets, percent)
-    blocks = group.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    blocks = blocks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    in_blocks = blocks.select("key", "band", "lo", "hi", "id", "comp", "low", "block", "before", "elements").groupBy("key", "band", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
-    links = materialize(stars.union(more).union(in_blocks), "jaccard-links")
-    for used in (placed, entries, group, sets):
-        discard(used)
+    more, used = _prefix_round(rows, placed, fine, width, percent, hot, block)
+    links = materialize(stars.union(more), "jaccard-links")
+    for done in used:
+        discard(done)
     labels = connected_components(links)
 
     of_class = materialize(classes.join(labels, classes["class"] == labels["id"], "left").select("digest", "class", F.coalesce("component", "class").alias("component")), "jaccard-result")
@@ -376,3 +399,50 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     out = narrow.withColumn("digest", key).join(of_class, "digest", "left")
     own = F.when(F.col("n") == 0, F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(own, "class").alias("class_id"), F.coalesce(own, "component").alias("component_id"))
+
+
+def jaccard_pairs(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and the membership of the classes of equal sets.
+
+    The first table has a row (a, b), a < b, for each two classes that link, a and b being their smallest ids; the second a row for each row of ``docs``: id, n_shingles,
+    class_id. Sets, links and classes are those of ``jaccard_components``, as are nulls, empty texts, repeats and empty tables; a set that only rows with null ids
+    have links with nothing.
+
+    Only the prefix round runs, with every class as a component of its own, so each pair is verified, and none is spared as connected already. The links of a large
+    group of near copies are as many as its pairs: they leave their tasks as pairs of ids, block by block. Copies are never expanded.
+    """
+    rows, wide = _signed(docs, width, percent, id_col, text_col, frequent)
+    narrow = wide.select("id", "n", "digest")
+    classes = materialize(narrow.where("n > 0").groupBy("digest").agg(F.min("id").alias("class")), "jaccard-classes")
+    placed = classes.where("class is not null").select(F.col("class").alias("id"), F.col("class").alias("comp"))
+    placed = materialize(wide.drop("digest", "mins", "fine").dropDuplicates(["id"]).join(placed, "id"), "jaccard-placed")
+    fine = materialize(wide.where("n > 0").select("id", "n", "fine").dropDuplicates(["id"]), "jaccard-fine")
+    found, used = _prefix_round(rows, placed, fine, width, percent, hot, block, forest=False)
+    found = materialize(found.distinct(), "jaccard-links")
+    for done in used:
+        discard(done)
+    key = F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.coalesce("id", F.lit(0)).cast("string")), "utf-8"))
+    members = narrow.withColumn("digest", key).join(classes, "digest", "left")
+    members = members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class")).alias("class_id"))
+    members = materialize(members, "jaccard-members")
+    for done in (wide, classes):
+        discard(done)
+    return found, members
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, class_id, n_links (other documents that it links with, copies included).
+
+    Links are counted from ``jaccard_pairs``, a class for all its copies at once. n_links is 0 for texts without words, and null for rows with a null id; repeated rows with
+    one id are one document. An empty table gives an empty result.
+    """
+    found, members = jaccard_pairs(docs, width, percent, id_col, text_col, **settings)
+    members = members.withColumnRenamed(id_col, "id")
+    size = members.where("n_shingles > 0 and id is not null").select("id", "class_id").distinct().groupBy("class_id").agg(F.count("*").alias("size"))
+    size = materialize(size, "jaccard-class-sizes")
+    both = found.union(found.select("b", "a"))
+    near = both.join(size.toDF("b", "size"), "b").groupBy("a").agg(F.sum("size").alias("near"))
+    near = size.join(near, size["class_id"] == near["a"], "left").select(F.col("class_id").alias("of"), (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    out = members.join(near, members["class_id"] == near["of"], "left")
+    count = F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "class_id", count.cast("long").alias("n_links"))

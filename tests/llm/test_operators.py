@@ -258,6 +258,27 @@ def test_jaccard_components(spark, width, percent, hot):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+@pytest.mark.parametrize("width,percent,hot", [(4, 85, 64), (3, 50, 2)])
+def test_jaccard_links(spark, width, percent, hot):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(x if rng.random() > 0.02 else "q" + str(rng.randint(0, 999)) for x in base) for _ in range(40)]
+    docs = make_docs(4, 16) + [(100 + k, t) for k, t in enumerate(near + near[:3])]
+    sets = {i: _shingle_set(t, width) for i, t in docs}
+    same = {i: min(j for j in sets if sets[j] == s) if s else i for i, s in sets.items()}
+    linked = {(i, j) for i in sets for j in sets if i != j and sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    df = frame(spark, docs + [docs[0], (None, docs[20][1])])
+    found, members = jaccard_join.jaccard_pairs(df, width, percent, hot=hot, block=4)
+    pairs = [tuple(r) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(same[i], same[j]) for i, j in linked if same[i] < same[j]}
+    assert len(pairs) > 20
+    rows = jaccard_join.jaccard_links(df, width, percent, hot=hot, block=4).collect()
+    assert len(rows) == len(docs) + 2 and [r["n_links"] for r in rows if r["doc_id"] is None] == [None]
+    got = {r["doc_id"]: (r["n_shingles"], r["class_id"], r["n_links"]) for r in rows if r["doc_id"] is not None}
+    degree = Counter(i for i, _ in linked)
+    assert got == {i: (len(sets[i]), same[i], degree[i]) for i in sets}
+
+
 def test_bwt_dedup(spark, docs, df):
     length, data = 200, {i: (t or "").encode() for i, t in docs}
     seen = Counter(b[k : k + length] for b in data.values() for k in range(len(b) - length + 1))
@@ -400,6 +421,6 @@ def test_empty_tables(spark):
     machine = toxicity.train(empty, none)
     for out in (
         mixing.mix_sources(empty).rows(), mixing.mix_sources(empty).documents(empty), toxicity.score_toxicity(empty, machine), bwt_dedup.remove_repeats(empty), quality_rules.quality_rules(empty),
-        bpe.encode_documents(empty, RANKS, PATTERN), exact_dedup.exact_dedup(empty), secret_scan.scan_secrets(empty, RANKS, PATTERN), jaccard_join.jaccard_components(empty), quality_classifier.classify_quality(empty, none),
+        bpe.encode_documents(empty, RANKS, PATTERN), exact_dedup.exact_dedup(empty), secret_scan.scan_secrets(empty, RANKS, PATTERN), jaccard_join.jaccard_components(empty), jaccard_join.jaccard_links(empty), quality_classifier.classify_quality(empty, none),
     ):
         assert out.count() == 0
