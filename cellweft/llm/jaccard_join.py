@@ -27,6 +27,8 @@ COUNTED = 2_000_000
 BUCKETS, FINE, MINS = 64, 256, 4
 #: Prefix groups above HOT sets are verified inside tasks, in blocks of about BLOCK sets.
 HOT, BLOCK = 64, 256
+#: Preceding elements that an entry of the prefix round brings along. They only keep pairs from being found again and again.
+BEFORE = 2
 #: Buckets of 4 KiB, at most, of the bitmap that says whose sets are wanted.
 WANTED = 1024
 #: The same of the bitmap of prefix elements that lie in two components or more.
@@ -193,9 +195,13 @@ def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
-    """An entry for each prefix element that may be in ``keys`` (k): id, comp, n, pos, key, and what the filters need."""
+    """An entry for each prefix element that may be in ``keys`` (k): id, comp, n, pos, key, and what the filters need.
+
+    ``before`` holds the keys of the set's last entries before this one, BEFORE at most. Elements that two sets have in common are entries of both, so a key in the ``before`` of both
+    is a common element that comes earlier: the pair is found there too. At their first common element no pair has such a key.
+    """
     shared = placed.sparkSession.sparkContext.broadcast(_bitmap(keys, bitmap_buckets(keys.count(), OPEN)))
-    names = ["id", "comp", "n", "pos", "key", "counts"]
+    names = ["id", "comp", "n", "pos", "key", "counts", "before"]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -206,11 +212,16 @@ def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
             hashes = batch.column("hashes").flatten().to_numpy()
             at = np.nonzero(_hit(bits, hashes))[0]
             owner = np.searchsorted(ends, at, side="right") - 1
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(flat[at]), batch.column("counts").take(take)], names)
+            take, found = pa.array(owner), flat[at]
+            nth = np.arange(len(at)) - np.searchsorted(owner, owner)  # among the entries of its set
+            some = np.minimum(nth, BEFORE)
+            starts = np.cumsum(some) - some
+            before = found[np.repeat(np.arange(len(at)) - some - starts, some) + np.arange(some.sum())]
+            before = pa.ListArray.from_arrays(pa.array(np.append(starts, len(before)).astype(np.int32)), pa.array(before))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(found), batch.column("counts").take(take), before], names)
 
     rows = placed.select("id", "comp", "n", "prefix", F.transform("prefix", lambda k: F.xxhash64(k)).alias("hashes"), "counts")
-    return rows.mapInArrow(tidy(choose), "id long, comp long, n long, pos int, key long, counts array<smallint>")
+    return rows.mapInArrow(tidy(choose), "id long, comp long, n long, pos int, key long, counts array<smallint>, before array<long>")
 
 
 def near_enough(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(percent: int, forest: bool):
-    """Links of one block pair of a hot group, all or as a spanning forest; each pair is decided at its first common prefix element only."""
+    """Links of one block pair of a hot group, all or as a spanning forest, without pairs that an earlier common prefix element is known for."""
 
     def product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -331,13 +342,13 @@ def _prefix_round(rows: DataFrame, placed: DataFrame, fine: DataFrame, width: in
     need = _least_overlap(a, b, percent)
     positional = 1 + F.least(a - F.col("x.pos") - 1, b - F.col("y.pos") - 1) >= need
     distance = F.expr("aggregate(zip_with(x.counts, y.counts, (p, q) -> abs(p - q)), 0, (s, d) -> s + d)")
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.low") | F.col("y.low")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & (distance <= a + b - 2 * need)
+    earlier = F.arrays_overlap("x.before", "y.before")
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.low") | F.col("y.low")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & ~earlier & (distance <= a + b - 2 * need)
     pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = materialize(near_enough(pairs, fine, percent), "jaccard-pairs")
     discard(fine)
-    group = entries.where(F.col("size") > hot).drop("counts").join(placed.select("id", "prefix"), "id")
-    group = group.withColumns({"blocks": F.ceil(F.col("size") / block).cast("int"), "before": F.slice("prefix", 1, F.col("pos"))})
-    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("prefix", "pos", "size")
+    group = entries.where(F.col("size") > hot).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("counts", "pos", "size")
     wanted = _ends(pairs).union(group.select("id").distinct())
     sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")
     more = verified(pairs, sets, percent)
@@ -359,8 +370,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     3. Star round: sets with a common min-hash are verified against one pivot of the group, which joins most large groups without listing their pairs.
     4. Prefix round, exact: prefix elements that lie in one component only are done, since their sets are connected already. Others are joined on the element
        and a band of sizes (the length filter), under the positional filter (what is left after the element's position), and the suffix filter (differences of bucket counts
-       bound the sets' distance from below; the filter is repeated with more buckets before sets are fetched). Pairs are made distinct and verified once. Groups with more than ``hot`` sets instead go in pairs of blocks of about
-       ``block`` sets, in which a pair is decided at its first common element and only a spanning forest leaves the task. Every linking pair
+       bound the sets' distance from below; the filter is repeated with more buckets before sets are fetched). A pair is passed over where an earlier common element is near; what is
+       still found twice is made distinct, and verified once. Groups with more than ``hot`` sets instead go in pairs of blocks of about
+       ``block`` sets, under the same rule, and only a spanning forest leaves the task. Every linking pair
        of different components shares a prefix element, so no link that matters is lost; no group is ever cut.
     5. Components over the links of both rounds.
 

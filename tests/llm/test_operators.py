@@ -279,6 +279,19 @@ def test_jaccard_links(spark, width, percent, hot):
     assert got == {i: (len(sets[i]), same[i], degree[i]) for i in sets}
 
 
+def test_jaccard_entries_before(spark):
+    """Entries bring along the entries before them, of their own set only; keys that are not open (here 7) are no entries."""
+    prefixes = {1: list(range(20)), 2: [7], 3: [], 4: [5, 7, 6]}
+    placed = spark.createDataFrame([(i, i, 30, p, [0] * 64) for i, p in prefixes.items()], "id long, comp long, n long, prefix array<long>, counts array<smallint>").coalesce(1)
+    keys = spark.createDataFrame([(k,) for k in range(20) if k != 7], "k long")
+    got = {(r["id"], r["key"]): (r["pos"], list(r["before"])) for r in jaccard_join.open_entries(placed, keys).collect()}
+    for i, p in prefixes.items():
+        open_ = [k for k in p if k != 7]
+        for at, k in enumerate(open_):
+            assert got[i, k] == (p.index(k), open_[max(0, at - jaccard_join.BEFORE) : at])
+    assert len(got) == 21
+
+
 def test_bwt_dedup(spark, docs, df):
     length, data = 200, {i: (t or "").encode() for i, t in docs}
     seen = Counter(b[k : k + length] for b in data.values() for k in range(len(b) - length + 1))
