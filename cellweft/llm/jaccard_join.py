@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, hold, pick, release, tidy
 from cellweft.llm.components import connected_components
@@ -31,8 +32,10 @@ HOT, BLOCK = 64, 256
 BEFORE = 2
 #: Buckets of 4 KiB, at most, of the bitmap that says whose sets are wanted.
 WANTED = 1024
-#: The same of the bitmap of prefix elements that lie in two components or more.
+#: The same of the bitmaps of prefix elements that lie in two components or more, and of their groups by band.
 OPEN = 4096
+#: Spreads the bands of a key over that bitmap.
+BAND = 0x9E3779B1
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -145,23 +148,38 @@ def signatures(rows: DataFrame, width: int, percent: int, frequent: tuple[np.nda
     return rows.mapInArrow(tidy(sign, _words.clear), "id long, n long, digest binary, prefix array<long>, counts array<smallint>, fine binary, mins array<long>")
 
 
-def banded(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries by key and band of sizes, which is the length filter as an equality; ``size`` counts a group's entries.
+def _size_class(percent: int) -> Column:
+    """Sets that can link are in one class of sizes or in two that follow each other."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(100 / percent)))) if percent < 100 else F.col("n")
+    return size_class.cast("long")
+
+
+def in_bands(rows: DataFrame) -> DataFrame:
+    """``rows`` (class, ..) in both of their bands, which is the length filter as an equality.
 
-    Sets that can link are in one class of sizes or in two that follow each other. A band is two such classes; an entry is in two bands, in one of them as
-    ``low``. A pair is taken in the band in which one of the two is low, so once. Bands without a low entry, or of one component, have no pair to decide.
+    A band is two classes that follow each other; a row is in two bands, in one of them as ``low``. A pair is taken in the band in which one of the two is low, so once.
     """
-    size_class = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(100 / percent)))) if percent < 100 else F.col("n")
-    rows = entries.withColumn("class", size_class.cast("long")).withColumn("band", F.explode(F.array(F.col("class") - 1, F.col("class"))))
-    rows = rows.withColumn("low", F.col("band") == F.col("class")).drop("class")
+    rows = rows.withColumn("band", F.explode(F.array(F.col("class") - 1, F.col("class"))))
+    return rows.withColumn("low", F.col("band") == F.col("class")).drop("class")
+
+
+def open_groups(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys (k) that lie in two components or more, and the groups (key, band, size) that have a pair to decide: with a low entry, and of two components or more.
+
+    ``size`` counts entries. Only entries of such keys are dealt out by band, and without what the filters need.
+    """
+    spread = placed.select("comp", F.explode("prefix").alias("k"))
+    keys = spread.groupBy("k").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("k")
+    keys = materialize(keys, "jaccard-open")
+    rows = in_bands(open_entries(placed, keys, brought=("comp", "class")).select("key", "comp", "class"))
     groups = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("low").alias("any_low"))
-    groups = groups.where("least != most and any_low").select("key", "band", "size")
-    return materialize(rows.join(groups, ["key", "band"]), "jaccard-bands")
+    return keys, materialize(groups.where("least != most and any_low").select("key", "band", "size"), "jaccard-groups")
 
 
-def _bitmap(keys: DataFrame, buckets: int) -> bytes:
-    """A bitmap of the hashes of ``keys`` (k), of ``buckets`` * 4 KiB however many keys there are."""
-    bit = F.pmod(F.xxhash64("k"), F.lit(buckets * BUCKET_BITS)) + 1
+def _bitmap(keys: DataFrame, spread: Column) -> bytes:
+    """A bitmap of ``spread``, evenly spread numbers of the rows of ``keys``: of OPEN * 4 KiB at most, however many there are."""
+    buckets = bitmap_buckets(keys.count(), OPEN, 32)
+    bit = F.pmod(spread, F.lit(buckets * BUCKET_BITS)) + 1
     marks = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bitmap = bytearray(buckets * BUCKET_BITS // 8)
     for r in marks:
@@ -170,8 +188,8 @@ def _bitmap(keys: DataFrame, buckets: int) -> bytes:
     return bytes(bitmap)
 
 
-def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = np.mod(hashes, len(bits) * 8)
+def _hit(bits: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    at = np.mod(spread, len(bits) * 8)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -194,23 +212,28 @@ def sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(tidy(make, _words.clear), "id long, elements binary")
 
 
-def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
-    """An entry for each prefix element that may be in ``keys`` (k): id, comp, n, pos, key, and what the filters need.
+def open_entries(rows: DataFrame, keys: DataFrame, groups: DataFrame | None = None, brought: tuple[str, ...] = ("id", "comp", "n", "counts")) -> DataFrame:
+    """An entry for each prefix element of ``rows`` that may be in ``keys`` (k), and with its row's band in ``groups`` (key, band, ..) if there are any: pos, key, before, and the columns ``brought``.
 
-    ``before`` holds the keys of the set's last entries before this one, BEFORE at most. Elements that two sets have in common are entries of both, so a key in the ``before`` of both
-    is a common element that comes earlier: the pair is found there too. At their first common element no pair has such a key.
+    ``before`` holds the keys of the row's last entries before this one, BEFORE at most. Elements that two sets have in common are entries of both, in the band of the pair too, so a key in the
+    ``before`` of both is a common element that comes earlier: the pair is found there too. At their first common element no pair has such a key.
     """
-    shared = placed.sparkSession.sparkContext.broadcast(_bitmap(keys, bitmap_buckets(keys.count(), OPEN)))
-    names = ["id", "comp", "n", "pos", "key", "counts", "before"]
+    send = rows.sparkSession.sparkContext.broadcast
+    shared = send(_bitmap(keys, F.col("k")))
+    banded = None if groups is None else send(_bitmap(groups, F.col("key").bitwiseXOR(F.col("band") * BAND)))
+    schema = T.StructType([*rows.select(*brought).schema, T.StructField("pos", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("before", T.ArrayType(T.LongType()))])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
+        of_bands = None if banded is None else np.frombuffer(banded.value, np.uint8)
         for batch in batches:
             prefix = batch.column("prefix")
             flat = prefix.flatten().to_numpy()
             ends = prefix.offsets.to_numpy() - prefix.offsets[0].as_py()
-            hashes = batch.column("hashes").flatten().to_numpy()
-            at = np.nonzero(_hit(bits, hashes))[0]
+            hit = _hit(bits, flat)
+            if of_bands is not None:
+                hit &= _hit(of_bands, flat ^ (np.repeat(batch.column("band").to_numpy(), np.diff(ends)) * BAND))
+            at = np.nonzero(hit)[0]
             owner = np.searchsorted(ends, at, side="right") - 1
             take, found = pa.array(owner), flat[at]
             nth = np.arange(len(at)) - np.searchsorted(owner, owner)  # among the entries of its set
@@ -218,10 +241,9 @@ def open_entries(placed: DataFrame, keys: DataFrame) -> DataFrame:
             starts = np.cumsum(some) - some
             before = found[np.repeat(np.arange(len(at)) - some - starts, some) + np.arange(some.sum())]
             before = pa.ListArray.from_arrays(pa.array(np.append(starts, len(before)).astype(np.int32)), pa.array(before))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "comp", "n")), pa.array((at - ends[owner]).astype(np.int32)), pa.array(found), batch.column("counts").take(take), before], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in brought), pa.array((at - ends[owner]).astype(np.int32)), pa.array(found), before], schema.names)
 
-    rows = placed.select("id", "comp", "n", "prefix", F.transform("prefix", lambda k: F.xxhash64(k)).alias("hashes"), "counts")
-    return rows.mapInArrow(tidy(choose), "id long, comp long, n long, pos int, key long, counts array<smallint>, before array<long>")
+    return rows.select("prefix", *brought).mapInArrow(tidy(choose), schema)
 
 
 def near_enough(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
@@ -330,13 +352,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _prefix_round(rows: DataFrame, placed: DataFrame, fine: DataFrame, width: int, percent: int, hot: int, block: int, forest: bool = True) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) between sets of different ``comp`` in ``placed`` (id, comp, n, prefix, counts), and the tables that may go once they are written.
 
-    With ``forest`` a block of a hot group gives only as many links as its components need; without, it gives all. ``fine`` is discarded.
+    With ``forest`` a block of a hot group gives only as many links as its components need; without, it gives all. ``placed`` and ``fine`` are discarded.
     """
-    spread = placed.select("comp", F.explode("prefix").alias("key"))
-    open_ = spread.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least != most").select("key", "size")
-    open_ = materialize(open_, "jaccard-open")
-    entries = materialize(open_entries(placed, open_.select(F.col("key").alias("k"))).join(open_.select("key"), "key", "left_semi"), "jaccard-entries")
-    entries = banded(entries, percent)
+    placed_in = placed.withColumn("class", _size_class(percent))
+    keys, groups = open_groups(placed_in)
+    entries = open_entries(in_bands(placed_in), keys, groups, ("id", "comp", "n", "band", "low", "counts"))
+    entries = materialize(entries.join(groups, ["key", "band"]), "jaccard-bands")
+    for done in (placed, keys, groups):
+        discard(done)
     x, y = (entries.where(F.col("size") <= hot).alias(side) for side in "xy")
     a, b = F.col("x.n"), F.col("y.n")
     need = _least_overlap(a, b, percent)
@@ -355,7 +378,7 @@ def _prefix_round(rows: DataFrame, placed: DataFrame, fine: DataFrame, width: in
     blocks = group.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     in_blocks = blocks.select("key", "band", "lo", "hi", "id", "comp", "low", "block", "before", "elements").groupBy("key", "band", "lo", "hi").applyInArrow(_block_links(percent, forest), "a long, b long")
-    return more.union(in_blocks), [placed, entries, sets]
+    return more.union(in_blocks), [entries, sets]
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, hot: int = HOT, block: int = BLOCK) -> DataFrame:

@@ -292,6 +292,30 @@ def test_jaccard_entries_before(spark):
     assert len(got) == 21
 
 
+def test_jaccard_entries_of_open_groups_only(spark):
+    """An element that two components share is dealt out only in the bands of sizes where a pair can link, and there for all sets."""
+    rng = random.Random(4)
+    rows = [(i, i // 2, rng.choice([10, 11, 40, 160, 640]), sorted(rng.sample(range(-30, 30), 6))) for i in range(40)]
+    placed = spark.createDataFrame([(*r, [0] * 64) for r in rows], "id long, comp long, n long, prefix array<long>, counts array<smallint>")
+    placed = placed.withColumn("class", jaccard_join._size_class(85))
+    size_class = {r["id"]: r["class"] for r in placed.collect()}
+    members = {}
+    for i, comp, _, prefix in rows:
+        for k in prefix:
+            for band in (size_class[i] - 1, size_class[i]):
+                members.setdefault((k, band), []).append((i, comp, band == size_class[i]))
+    wanted = {g: m for g, m in members.items() if len({c for _, c, _ in m}) > 1 and any(low for *_, low in m)}
+    keys, groups = jaccard_join.open_groups(placed)
+    assert {(r["key"], r["band"]): r["size"] for r in groups.collect()} == {g: len(m) for g, m in wanted.items()}
+    assert {g[0] for g in wanted} <= {r["k"] for r in keys.collect()}
+    entries = jaccard_join.open_entries(jaccard_join.in_bands(placed), keys, groups, ("id", "comp", "low", "band")).collect()
+    got = {}
+    for r in entries:
+        got.setdefault((r["key"], r["band"]), []).append((r["id"], r["comp"], r["low"]))
+    assert {g: sorted(m) for g, m in got.items() if g in wanted} == {g: sorted(m) for g, m in wanted.items()}
+    assert len(entries) < 1.2 * sum(map(len, wanted.values())) < 0.8 * sum(map(len, members.values()))
+
+
 def test_bwt_dedup(spark, docs, df):
     length, data = 200, {i: (t or "").encode() for i, t in docs}
     seen = Counter(b[k : k + length] for b in data.values() for k in range(len(b) - length + 1))
