@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import hold, pick, tidy
+from cellweft.llm.common import hold, pick, release, tidy
 
 DECAY, SPAN = 0.7, 7
 #: Units longer than WIDTH are seen through windows of WIDTH characters that overlap by half.
@@ -285,9 +285,16 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, landmark
             bags = [list(dict.fromkeys(units_of(t.as_py()))) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.string()))], ["id", "label", "units"])
 
+    machine = _fitted(rows.mapInArrow(split, "id long, label int, units array<string>"), landmarks)
+    release()
+    return machine
+
+
+def _fitted(rows: DataFrame, landmarks: int) -> Machine:
+    """The machine of the documents in ``rows`` (id, label, units). What the driver holds of them is free again when this returns."""
     same: dict[str, str] = {}  # one string for each unit
     found: dict[int, tuple[int, list[str]]] = {}
-    for r in rows.mapInArrow(split, "id long, label int, units array<string>").toArrow().to_batches(max_chunksize=64):
+    for r in rows.toArrow().to_batches(max_chunksize=64):
         for ident, label, units in zip(*(r.column(k) for k in range(3))):
             found[ident.as_py()] = label.as_py(), [same.setdefault(u, u) for u in units.as_py()]
     bags = [found[i] for i in sorted(found)]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cellweft import runtime
 from cellweft.llm import toxicity
 from cellweft.runtime import table
 
@@ -43,6 +44,18 @@ def _odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, marked int")
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Training leaves nothing of its sample in the driver, and tables that are written or deleted let the JVM trim its native heap."""
+    calls = []
+    monkeypatch.setattr(toxicity, "release", lambda: calls.append("release"))
+    docs = table(spark, DATA, "documents")
+    assert toxicity.train(docs, table(spark, DATA, "labels")).landmarks and calls == ["release"]
+    assert runtime.trim(spark)  # on the Java 17 used here
+    monkeypatch.setattr(runtime, "trim", lambda s: calls.append("trim"))
+    runtime.discard(runtime.materialize(docs.limit(1), "test"))
+    assert calls == ["release", "trim", "trim"]
+
+
 def _key(row):
     return repr(tuple(row))
 
