@@ -1,6 +1,10 @@
+import random
+
+import pyarrow as pa
 import pytest
 
 from cellweft.functions.formula import FormulaError, column_index, column_label, parse_formula, shift_formula
+from cellweft.operators import extract
 
 
 def refs(text):
@@ -48,3 +52,27 @@ def test_labels_round_trip():
 
 def test_shared_formulas_shift():
     assert shift_formula("SUM(A$1:A5)+$B2+LOG10(3)", 2, 1) == "SUM(B$1:B7)+$B4+LOG10(3)"
+
+
+FILLED = ["A{}*2", "SUM(A$1:A{})", "SUM($C{}:b${} )", "A{}/$A$1", "LOG10(A{})+LOG{}(B2)", "DAYS{}(A1)", "#DIV/{}!+A1", "IF(A{}>{},B{},\"x{}\")", "A:A+B{}", "{}:{}", "X!A{}", "Sheet{}!A1", "{}E{}", "A{}B",
+          "A{}:B{}:C{}", "A{} B{}", "nm{}+1", "ABCD{}", "XFE{}", "XFD{}", "A{}(", "", "{}", "SUM(D{}:A{},C{})", "A{}..5", "\u00c9{}+A{}", "A{}\u0663", "{}A{}", "T[{}]"]
+
+
+def test_filled_formulas_are_parsed_together_with_the_same_results():
+    """Numbers at limits, of many digits, and with zeros in front; skeletons that occur often, seldom, and with others between."""
+    rng, odd = random.Random(3), [0, 1, 9, 10, 99, 100, 1_048_576, 1_048_577, 999_999_999, 1_234_567_890, 12_345_678_901, "007"]
+    for _ in range(20):
+        texts = [t.format(*[rng.choice(odd) if rng.random() < 0.3 else rng.randrange(1, 5000) for _ in range(4)]) for t in rng.sample(FILLED, 10) for _ in range(rng.choice([1, 3, 9, 20]))] + [None] * 3
+        rng.shuffle(texts)
+        for got, f in zip(extract._parsed(pa.array(["x", *texts], pa.string())[1:]).to_pylist(), texts):
+            try:
+                wanted = {"refs": [r._asdict() for r in parse_formula(f)] if f is not None else [], "error": None}
+            except FormulaError as e:
+                wanted = {"refs": [], "error": str(e)}
+            assert got == wanted, f
+
+
+def test_filled_formulas_are_not_parsed_one_by_one(monkeypatch):
+    monkeypatch.setattr(extract, "parse_formula", None)
+    got = extract._parsed(pa.array([f"SUM(A{r}:A$9)" for r in range(5, 15)], pa.string())).to_pylist()
+    assert [(x["refs"][0]["r1"], x["refs"][0]["r2"], x["refs"][0]["abs_r1"]) for x in got] == [(min(r, 9) - 1, max(r, 9) - 1, r > 9) for r in range(5, 15)]
