@@ -15,9 +15,9 @@ def _boxes(stored: DataFrame) -> DataFrame:
     return stored.select(*SHEET, F.explode(F.array(as_rect(PREC), as_rect(DEP))).alias("box"))
 
 
-def edge_counts(edges: DataFrame) -> DataFrame:
-    """file, sheet, num_edges, num_vertices of raw edges: distinct (range, cell) pairs, and distinct rectangles at either end."""
-    e = distinct_edges(edges)
+def edge_counts(edges: DataFrame, once: bool = False) -> DataFrame:
+    """file, sheet, num_edges, num_vertices of raw edges: distinct (range, cell) pairs, and distinct rectangles at either end. ``once`` says that no edge is there twice."""
+    e = edges if once else distinct_edges(edges)
     n = e.groupBy(*SHEET).agg(F.count("*").alias("num_edges"))
     as_rect = lambda cols: F.struct(*[F.col(c).alias(k) for c, k in zip(cols, RECT)])
     boxes = e.select(*SHEET, F.explode(F.array(as_rect(RECT), as_rect(["dep_row", "dep_col", "dep_row", "dep_col"]))).alias("box")).distinct()
@@ -57,11 +57,11 @@ def pattern_counts(stored: DataFrame) -> DataFrame:
     return stored.groupBy(*SHEET, "pattern").agg(F.count("*").alias("stored"), F.sum(cells).alias("represented"))
 
 
-def workbook_statistics(cells: DataFrame, edges: DataFrame, stored: DataFrame) -> DataFrame:
+def workbook_statistics(cells: DataFrame, edges: DataFrame, stored: DataFrame, once: bool = False) -> DataFrame:
     """A row per file, as the statistics CSV has it: counts, and for each pattern stored (``_Comp``) and represented (``_NoComp``) edges."""
     per_file = lambda df, *names: df.groupBy("file").agg(*[F.sum(n).alias(n) for n in names])
     long = pattern_counts(stored)
     wide = long.groupBy("file").agg(*[F.sum(F.when(F.col("pattern") == p, F.col(c)).otherwise(0)).alias(f"{p}_{s}") for p in PATTERNS for c, s in (("stored", "Comp"), ("represented", "NoComp"))])
-    out = per_file(formula_counts(cells), "num_formulas").join(per_file(edge_counts(edges), "num_vertices", "num_edges"), "file", "left")
+    out = per_file(formula_counts(cells), "num_formulas").join(per_file(edge_counts(edges, once), "num_vertices", "num_edges"), "file", "left")
     out = out.join(per_file(stored_counts(stored), "num_comp_vertices", "num_comp_edges"), "file", "left").join(wide, "file", "left")
     return out.withColumnsRenamed({"file": "fileName", "num_formulas": "numFormulae", "num_vertices": "numVertices", "num_edges": "numEdges", "num_comp_vertices": "numCompVertices", "num_comp_edges": "numCompEdges"})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweft.model import TABLE_ROWS
 from cellweft.operators import chains, compress, lookup
-from cellweft.operators.extract import extract
+from cellweft.operators.extract import distinct_edges, extract
 from cellweft.plans import queries
 from cellweft.sources.grid import grid_cells
 
@@ -108,3 +108,29 @@ def test_topological_order_has_all_cells_of_a_range(spark):
     order = {(r.row, r.col): (r.rank, r.length) for r in chains.topological_order(edges(spark, [["=SUM(B1:B250)", ""]] + [["", ""]] * 198 + [["", "=B1"]])).collect()}
     assert len(order) == 251 and order[199, 1][1] == 1
     assert order[0, 0] == (250, 2)
+
+
+def test_edges_are_made_distinct_in_their_formula_without_a_shuffle(spark):
+    texts = spark.createDataFrame([("f", "s", r, c, t) for r in range(3) for c, t in enumerate(["=A1+A1*B2", "=SUM(A1:A3)+A2+SUM(A1:A3)/A2", "=A9", "5", "=NOSUCH(A1)+A1"])], TEXTS)
+    found = extract(texts)
+    names = [*EDGE, "edge_type", "abs_r1"]
+    assert rows(found.edges, *names) == rows(distinct_edges(found.edges_raw), *names) and found.edges.count() == 15 < found.edges_raw.count()
+    assert "Exchange" not in found.edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_shuffled_once_to_be_compressed(spark):
+    raw = edges(spark, [[f"=C{r}*2", f"=SUM(C$1:C{r})", "1"] for r in range(1, 40)])
+    made = compress.compress(raw)
+    assert rows(made, "d_c1", "pattern") == [(0, "RR"), (1, "FR")]
+    assert "Arrow" not in made._jdf.queryExecution().executedPlan().toString()  # pieces are written, and only put together
+
+
+def test_long_runs_and_rectangles_are_listed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(compress, "PIECE", 7)
+    monkeypatch.setattr(lookup, "PIECE", 7)
+    raw = edges(spark, [[f"=D{r}*2", f"=SUM(D$1:D{r})", f"=D{r}" if r % 3 == 0 else "", "1"] for r in range(1, 60)])
+    made = compress.expand(compress.compress(raw, compress.Options(gap=True)))
+    assert rows(made, *EDGE) == rows(raw, *EDGE)
+    assert made.select(F.spark_partition_id()).distinct().count() > 2
+    rects = lookup.queries(spark, [(1, "f", "s", 3, 0, 50, 1), (1, "f", "s", 9, 1, 9, 2), (2, "f", "s", 0, 0, 6, 0)])
+    assert rows(lookup.cells_of(rects, tall=True), "qid", "row", "col") == rows(lookup.cells_of(rects), "qid", "row", "col")
