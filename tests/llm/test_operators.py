@@ -126,6 +126,26 @@ def test_bpe_long_piece_and_stale_entries():
         assert mine.encode(text) == own.encode_ordinary(text)
 
 
+def test_bpe_short_pieces_are_merged_together(monkeypatch):
+    """Only pre-tokens above CACHED bytes are merged one by one; ids are those of tiktoken, though the cache turns over, chunks are small and one text is long."""
+    monkeypatch.setattr(bpe, "CACHE", 2000)
+    monkeypatch.setattr(bpe, "CHARS", 2000)
+    monkeypatch.setattr(bpe, "TOGETHER", 64)
+    few = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b"bab": 259, b"aab": 270, b"aaba": 260}
+    many = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    for ranks, pattern, letters in ((few, r" ?[ab]+", "ab"), (many, PATTERN, "abcdeéß日 \n'.9")):
+        texts = ["", *[" ".join(word(letters, 30) for _ in range(40)) for _ in range(40)], " ".join(word(letters, 12) for _ in range(3000)), letters[0] * 48 + " " + letters[0] * 49 + " " + letters[0] * 300]
+        own, mine, called = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.Bpe(ranks, pattern), []
+        one = mine.piece
+        mine.piece = lambda piece, one=one, called=called: called.append(len(piece)) or one(piece)
+        got = list(mine.encode_texts(texts))
+        assert [memoryview(g).cast("I").tolist() for g in got] == [own.encode_ordinary(t) for t in texts]
+        assert [mine.decode_bytes(g) for g in got] == [mine.decode(own.encode_ordinary(t)) for t in texts] == [own.decode_bytes(own.encode_ordinary(t)) for t in texts]
+        assert called and min(called) > bpe.CACHED
+
+
 def test_quality_rules_counts(spark, docs, df):
     got = by_id(quality_rules.quality_rules(df))
     for i, t in docs:
