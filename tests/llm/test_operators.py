@@ -105,6 +105,19 @@ def test_mixing_caps():
     assert mixing.targets({}, {}, 0, 3.0) == {} and mixing.targets({"a": 0}, {"a": 1}, 0, 3.0) == {"a": 0.0}
 
 
+def test_exact_dedup_scans_texts_in_short_batches(spark, df, monkeypatch):
+    """Both scans of texts use fewer rows a batch, unless the session has a setting of its own; the setting is put back."""
+    key, seen, made = "spark.sql.parquet.columnarReaderBatchSize", {}, exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda rows, tag: (seen.update({tag: spark.conf.get(key)}), made(rows, tag))[1])
+    for own, during in (("4096", "512"), ("1000", "1000")):
+        spark.conf.set(key, own)
+        try:
+            exact_dedup.exact_dedup(df)
+            assert (seen["dedup-keys"], seen["dedup-digests"], spark.conf.get(key)) == (during, during, own)
+        finally:
+            spark.conf.unset(key)
+
+
 def test_bpe_like_tiktoken(spark, docs, df):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
