@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm.common import BUCKET_BITS, ascii_lower, bitmap, bitmap_buckets, marked, pick
-from cellweft.runtime import discard, materialize, short_batches
+from cellweft.runtime import discard, materialize, relieve, short_batches
 
 #: Buckets of 4 KiB, at most, of the bitmap of groups that survive: 16 MiB, which is broadcast.
 SURVIVORS = 4096
@@ -23,7 +23,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        its bound (some 8 million groups) it fills up, which costs needless hashing, never a wrong result.
     4. A second scan hashes the whole texts of marked rows only, and groups them by the full hash.
 
-    Both scans read texts in batches of 512 rows where the session has Spark's default of 4,096 (set for their time only).
+    Both scans read texts in batches of 512 rows where the session has Spark's default of 4,096 (set for their time only), and executors collect garbage before and after each.
 
     ``digest_all`` also hashes the rows that are out, for callers who want ``text_sha256`` in every row; else it
     is null for them. Texts never cross a shuffle; the rows that do are narrow, groups are aggregated before the
@@ -36,8 +36,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long")
     head = F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars)))
+    relieve(docs.sparkSession)
     with short_batches(docs.sparkSession):
         keys = materialize(rows.select(size.alias("n_bytes"), head.alias("head")).groupBy("n_bytes", "head").agg(F.count("*").alias("n")), "dedup-keys")
+    relieve(docs.sparkSession)
     lengths = keys.groupBy("n_bytes").agg(F.sum("n").alias("of_length")).where("of_length > 1")
     shared = keys.where("n > 1").join(lengths, "n_bytes", "left_semi")
     n_bits = bitmap_buckets(keys.where("n > 1").count(), buckets) * BUCKET_BITS
@@ -47,6 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = hashed.select("id", "n_bytes", "marked", (digest if digest_all else F.when(F.col("marked"), digest)).alias("text_sha256"))
     with short_batches(docs.sparkSession):
         hashed = materialize(hashed, "dedup-digests")
+    relieve(docs.sparkSession)
     discard(keys)
     groups = hashed.where("marked").groupBy("n_bytes", "text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = materialize(groups.select(F.col("text_sha256").alias("of"), "keep_id", "group_size"), "dedup-groups")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cellweft.llm.common import BUCKET_BITS, bitmap_buckets, hold, pick, release, tidy
 from cellweft.llm.components import connected_components
-from cellweft.runtime import discard, materialize
+from cellweft.runtime import discard, materialize, relieve, short_batches
 
 #: Shingles that are put last in the order of rarity, at most: the most frequent ones. The list is broadcast (16 bytes each). It only
 #: steers the work; any order gives the same links.
@@ -163,6 +163,13 @@ def in_bands(rows: DataFrame) -> DataFrame:
     return rows.withColumn("low", F.col("band") == F.col("class")).drop("class")
 
 
+def _heavy(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written; then executors give back what that took of them."""
+    out = materialize(df, tag)
+    relieve(df.sparkSession)
+    return out
+
+
 def open_groups(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys (k) that lie in two components or more, and the groups (key, band, size) that have a pair to decide: with a low entry, and of two components or more.
 
@@ -170,10 +177,10 @@ def open_groups(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spread = placed.select("comp", F.explode("prefix").alias("k"))
     keys = spread.groupBy("k").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("k")
-    keys = materialize(keys, "jaccard-open")
+    keys = _heavy(keys, "jaccard-open")
     rows = in_bands(open_entries(placed, keys, brought=("comp", "class")).select("key", "comp", "class"))
     groups = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("low").alias("any_low"))
-    return keys, materialize(groups.where("least != most and any_low").select("key", "band", "size"), "jaccard-groups")
+    return keys, _heavy(groups.where("least != most and any_low").select("key", "band", "size"), "jaccard-groups")
 
 
 def _bitmap(keys: DataFrame, spread: Column) -> bytes:
@@ -341,7 +348,15 @@ def _block_links(percent: int, forest: bool):
 def _signed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, frequent: int) -> tuple[DataFrame, DataFrame]:
     """The texts (id, text), and the table of their signatures."""
     rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    return rows, materialize(signatures(rows, width, percent, frequent_shingles(rows, width, frequent)), "jaccard-signatures")
+    relieve(docs.sparkSession)
+    with short_batches(docs.sparkSession):
+        return rows, _heavy(signatures(rows, width, percent, frequent_shingles(rows, width, frequent)), "jaccard-signatures")
+
+
+def _wanted_sets(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The table of ``sets_of``, a row for each id."""
+    with short_batches(rows.sparkSession):
+        return _heavy(sets_of(rows, ids, width).dropDuplicates(["id"]), "jaccard-sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -357,7 +372,7 @@ def _prefix_round(rows: DataFrame, placed: DataFrame, fine: DataFrame, width: in
     placed_in = placed.withColumn("class", _size_class(percent))
     keys, groups = open_groups(placed_in)
     entries = open_entries(in_bands(placed_in), keys, groups, ("id", "comp", "n", "band", "low", "counts"))
-    entries = materialize(entries.join(groups, ["key", "band"]), "jaccard-bands")
+    entries = _heavy(entries.join(groups, ["key", "band"]), "jaccard-bands")
     for done in (placed, keys, groups):
         discard(done)
     x, y = (entries.where(F.col("size") <= hot).alias(side) for side in "xy")
@@ -368,12 +383,12 @@ def _prefix_round(rows: DataFrame, placed: DataFrame, fine: DataFrame, width: in
     earlier = F.arrays_overlap("x.before", "y.before")
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.low") | F.col("y.low")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(a, b, percent) & positional & ~earlier & (distance <= a + b - 2 * need)
     pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = materialize(near_enough(pairs, fine, percent), "jaccard-pairs")
+    pairs = _heavy(near_enough(pairs, fine, percent), "jaccard-pairs")
     discard(fine)
     group = entries.where(F.col("size") > hot).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     group = group.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")).drop("counts", "pos", "size")
     wanted = _ends(pairs).union(group.select("id").distinct())
-    sets = materialize(sets_of(rows, wanted, width).dropDuplicates(["id"]), "jaccard-sets")
+    sets = _wanted_sets(rows, wanted, width)
     more = verified(pairs, sets, percent)
     blocks = group.join(sets, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     blocks = blocks.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
@@ -413,9 +428,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pivots = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.id").alias("a"), F.col("p.n").alias("m"))
     pairs = keys.join(pivots, "key").where((F.col("id") != F.col("a")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select("a", F.col("id").alias("b")).distinct()
     fine = materialize(wide.where("n > 0").select("id", "n", "fine").dropDuplicates(["id"]), "jaccard-fine")
-    pairs = materialize(near_enough(pairs, fine, percent), "jaccard-stars")
-    sets = materialize(sets_of(rows, _ends(pairs), width).dropDuplicates(["id"]), "jaccard-sets")
-    stars = materialize(verified(pairs, sets, percent), "jaccard-links")
+    pairs = _heavy(near_enough(pairs, fine, percent), "jaccard-stars")
+    sets = _wanted_sets(rows, _ends(pairs), width)
+    stars = _heavy(verified(pairs, sets, percent), "jaccard-links")
     discard(sets)
     labels = connected_components(stars)
 
@@ -424,7 +439,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     placed = materialize(wide.drop("digest", "mins", "fine").join(placed, "id"), "jaccard-placed")
     discard(wide)
     more, used = _prefix_round(rows, placed, fine, width, percent, hot, block)
-    links = materialize(stars.union(more), "jaccard-links")
+    links = _heavy(stars.union(more), "jaccard-links")
     for done in used:
         discard(done)
     labels = connected_components(links)
@@ -453,7 +468,7 @@ def jaccard_pairs(docs: DataFrame, width: int = 5, percent: int = 80, id_col: st
     placed = materialize(wide.drop("digest", "mins", "fine").dropDuplicates(["id"]).join(placed, "id"), "jaccard-placed")
     fine = materialize(wide.where("n > 0").select("id", "n", "fine").dropDuplicates(["id"]), "jaccard-fine")
     found, used = _prefix_round(rows, placed, fine, width, percent, hot, block, forest=False)
-    found = materialize(found.distinct(), "jaccard-links")
+    found = _heavy(found.distinct(), "jaccard-links")
     for done in used:
         discard(done)
     key = F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.coalesce("id", F.lit(0)).cast("string")), "utf-8"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cellweft.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from cellweft.llm.common import without
 from cellweft.llm.queries import RANKS
-from cellweft.runtime import discard, materialize, sweep, table, tables_made
+from cellweft.runtime import discard, materialize, relieve, sweep, table, tables_made
 
 #: Iterated and fitted stages cannot be said in SQL.
 ORACLE_SQL = None
@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine, fitted on this stage's input and the labels outside the held-out fold, does not predict to be toxic."""
+    relieve(spark)
     labels = table(spark, sf_dir, "labels")
     return toxicity.without_toxic(docs, toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id")))))
 
@@ -45,11 +46,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each time a document is taken, cut at the word where its source's budget ends."""
-    return mixing.mix_sources(docs).documents(docs)
+    relieve(spark)
+    taken = mixing.mix_sources(docs)
+    relieve(spark)
+    return taken.documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and digests of every mixed text."""
+    relieve(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 

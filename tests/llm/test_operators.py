@@ -312,6 +312,19 @@ def test_jaccard_links(spark, width, percent, hot):
     assert got == {i: (len(sets[i]), same[i], degree[i]) for i in sets}
 
 
+def test_jaccard_scans_texts_in_short_batches_and_relieves(spark, df, monkeypatch):
+    """Scans of texts for signatures and sets use fewer rows a batch; executors give memory back before the first scan and after each heavy table."""
+    key, seen, made = "spark.sql.parquet.columnarReaderBatchSize", [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda rows, tag: (seen.append((tag, spark.conf.get(key))), made(rows, tag))[1])
+    monkeypatch.setattr(jaccard_join, "relieve", lambda s: seen.append("relieved"))
+    jaccard_join.jaccard_components(df, 3, 50)
+    assert seen[0] == "relieved" and ("jaccard-signatures", "512") in seen and seen.count(("jaccard-sets", "512")) == 2
+    for at, (tag, rows) in [(k, x) for k, x in enumerate(seen) if x != "relieved"]:
+        assert (rows == "512") == (tag in ("jaccard-signatures", "jaccard-sets"))
+        assert (seen[at + 1 : at + 2] == ["relieved"]) == (tag not in ("jaccard-sizes", "jaccard-classes", "jaccard-fine", "jaccard-placed", "jaccard-result")), tag
+    assert spark.conf.get(key) == "4096"
+
+
 def test_jaccard_entries_before(spark):
     """Entries bring along the entries before them, of their own set only; keys that are not open (here 7) are no entries."""
     prefixes = {1: list(range(20)), 2: [7], 3: [], 4: [5, 7, 6]}

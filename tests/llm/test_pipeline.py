@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellweft import runtime
-from cellweft.llm import toxicity
+from cellweft.llm import exact_dedup, jaccard_join, toxicity
 from cellweft.runtime import table
 
 DATA = "/root/testdata/sf0.001"
@@ -56,6 +56,27 @@ def test_driver_gives_memory_back(spark, monkeypatch):
     assert calls == ["release", "trim", "trim"]
 
 
+def test_executors_give_memory_back(spark, monkeypatch):
+    """A local session is left alone; elsewhere each core gets a task, and these let the JVM that runs them collect its whole heap."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert runtime.relieve(spark) == 0 and full() == before
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://master:7077")
+    assert runtime.relieve(spark) == spark.sparkContext.defaultParallelism and full() > before
+
+
+def test_stages_begin_with_relief(spark, monkeypatch):
+    """Executors give back what the stage before took of them: the steps of both dedup stages ask for it themselves."""
+    calls = []
+    for module in (corpus_pipeline, exact_dedup, jaccard_join):
+        monkeypatch.setattr(module, "relieve", lambda s: calls.append(stage))
+    docs = table(spark, DATA, "documents").limit(50)
+    for stage, run in corpus_pipeline.STAGES:
+        run(spark, docs, DATA)
+        assert stage in calls
+
+
 def _key(row):
     return repr(tuple(row))
 
